@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cindral.operators.ordered import carried
 from cindral.session import cut
@@ -71,60 +72,59 @@ def file_schemas(leaf: DataFrame, feed: str, number: str, file: str) -> DataFram
 
 
 def drift(lines: DataFrame, feed: str = "feed_id", number: str = "file_no", file: str = "file_id", record: str = "det_id", body: str = "body", same: float = 0.8) -> dict[str, DataFrame]:
-    """changes (file, field_name, change_kind, old_name), schemas (file_schemas) and renames (feed, file, old, new).
+    """changes (file, field_name, change_kind, old_name), schemas (file_schemas) and renames (feed, number, file, old, new).
 
     record: the field that names a record, by which re-sent records are found. same: share of the re-sent records with both fields
     filled that must have equal content for a rename.
     """
-    keep = [feed, number, file, "_line"]
+    keep = [feed, number, file, "_rec"]
     base = lines.where(F.col(feed).isNotNull() & F.col(number).isNotNull() & F.col(body).isNotNull()).select(feed, number, file, F.col(body).alias("_body")).distinct()
-    leaf = cut(leaves(base.withColumn("_line", F.xxhash64("_body")), keep, "_body"))
+    base = base.withColumn("_rec", F.try_variant_get(F.try_parse_json("_body"), _path(record), "string"))
+    leaf = leaves(base, keep, "_body")
+    leaf = cut(leaf.select(*keep, "path", "kind", canonical(F.col("value"), F.col("kind")).alias("content")))
+
+    # Fields of each file, with the number of the file before (_n0), of the last file with the path, and the type known last.
     schemas = cut(file_schemas(leaf, feed, number, file))
     files = schemas.select(feed, number, file).distinct()
-    before = carried(files, [feed], number, F.struct(F.col(number).alias("n"), F.col(file).alias("f")), "_before").where(F.col("_before").isNotNull())
-    before = before.select(feed, number, file, F.col("_before.n").alias("_n0"), F.col("_before.f").alias("_f0"))
-    now = schemas.select(feed, number, "path", "main")
-    old = before.join(now.withColumnRenamed(number, "_n0"), [feed, "_n0"]).select(feed, number, file, "_n0", "path", F.col("main").alias("_old"), F.lit(True).alias("_was"))
-    new = before.join(now, [feed, number]).select(feed, number, file, "_n0", "path", F.col("main").alias("_new"), F.lit(True).alias("_is"))
-    both = cut(old.join(new, [feed, number, file, "_n0", "path"], "full"))
-    gone, come = both.where("_is is null").select(feed, number, file, "_n0", "path"), both.where("_was is null").select(feed, number, file, "_n0", "path")
-
-    # Content of gone and new fields in the records that both files have.
-    filled = leaf.where("kind <> 'null'").select(feed, number, "_line", "path", canonical(F.col("value"), F.col("kind")).alias("content"))
-    name = leaf.where((F.col("path") == record) & (F.col("kind") != "null")).select(feed, number, "_line", F.col("value").alias("_rec"))
-    filled = filled.join(name, [feed, number, "_line"])
-    was = gone.join(filled.withColumnRenamed(number, "_n0"), [feed, "_n0", "path"]).select(feed, number, file, "_rec", F.col("path").alias("old"), F.col("content").alias("a"))
-    has = come.join(filled, [feed, number, "path"]).select(feed, number, "_rec", F.col("path").alias("new"), F.col("content").alias("b"))
-    pairs = was.join(has, [feed, number, "_rec"]).groupBy(feed, number, file, "old", "new").agg(F.countDistinct("_rec").alias("n"), F.count_distinct(F.when(F.col("a") == F.col("b"), F.col("_rec"))).alias("k"))
+    files = cut(carried(files, [feed], number, F.col(number), "_n0"))
+    fields = schemas.select(feed, number, "path", "main").join(files, [feed, number])
+    fields = carried(fields, [feed, "path"], number, F.col(number), "_seen")
+    fields = fields.withColumn("_start", ~F.coalesce(F.col("_seen") == F.col("_n0"), F.lit(False)))
+    fields = carried(fields, [feed, "path"], number, F.when(F.col("_start") | F.col("main").isNotNull(), F.struct("main")), "_known")
+    fields = cut(fields.select(feed, number, file, "_n0", "path", "main", F.coalesce("main", F.when(~F.col("_start"), F.col("_known.main"))).alias("last")))
+
+    # Each file beside the one before it: what was, what is.
+    new = fields.where(F.col("_n0").isNotNull()).select(feed, number, file, "_n0", "path", F.lit(None).cast("string").alias("_old"), F.col("main").alias("_new"), F.lit(0).alias("_was"), F.lit(1).alias("_is"))
+    after = files.where(F.col("_n0").isNotNull()).select(feed, F.col(number).alias("_number"), F.col(file).alias("_file"), F.col("_n0").alias(number))
+    old = fields.select(feed, number, "path", "last").join(after, [feed, number]).select(feed, F.col("_number").alias(number), F.col("_file").alias(file), F.col(number).alias("_n0"), "path", F.col("last").alias("_old"), F.lit(None).cast("string").alias("_new"), F.lit(1).alias("_was"), F.lit(0).alias("_is"))
+    both = cut(new.unionByName(old).groupBy(feed, number, file, "_n0", "path").agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"), F.max("_was").alias("_was"), F.max("_is").alias("_is")))
+
+    # Content of gone and new fields in the records that both files have; their fields are few, their records may be many.
+    side = F.when(F.col("_is") == 0, "old").otherwise("new")
+    moved = both.where("_was + _is = 1")
+    wanted = moved.select(feed, F.col(number).alias("_to"), F.col(file).alias("_file"), F.when(F.col("_is") == 0, F.col("_n0")).otherwise(F.col(number)).alias(number), "path", side.alias("side"), F.coalesce("_old", "_new").alias("type"))
+    seen = leaf.where("kind <> 'null' and _rec is not null").select(feed, number, "_rec", "path", "content").join(wanted, [feed, number, "path"])
+    seen = seen.groupBy(feed, "_to", "_file", "_rec").agg(F.collect_set(F.struct("side", "path", "type", "content")).alias("f"))
+    olds, news = F.filter("f", lambda x: x["side"] == "old"), F.filter("f", lambda x: x["side"] == "new")
+    pairs = seen.select(feed, "_to", "_file", "_rec", F.explode(F.flatten(F.transform(olds, lambda o: F.transform(news, lambda n: F.struct(o["path"].alias("old"), n["path"].alias("new"), o["type"].alias("a"), n["type"].alias("b"), (o["content"] == n["content"]).alias("equal")))))).alias("p"))
+    pairs = pairs.groupBy(feed, F.col("_to").alias(number), F.col("_file").alias(file), "_rec", "p.old", "p.new", "p.a", "p.b").agg(F.max("p.equal").alias("equal"))
+    pairs = pairs.groupBy(feed, number, file, "old", "new", "a", "b").agg(F.count("*").alias("n"), F.count_if("equal").alias("k"))
     pairs = pairs.where(F.col("k") >= F.greatest(F.lit(1.0), same * F.col("n")))
-    # One old name for each new name and the other way round: the pair with most equal records, then by name; fields of a file are few.
-    from pyspark.sql.window import Window as W
-
+    # One old name for each new name and the other way round: the pair with most equal records, then by name.
     order = [F.desc("k"), F.desc(F.col("k") / F.col("n"))]
-    renames = pairs.withColumn("_i", F.row_number().over(W.partitionBy(feed, number, "old").orderBy(*order, "new"))).withColumn("_j", F.row_number().over(W.partitionBy(feed, number, "new").orderBy(*order, "old")))
-    renames = cut(renames.where("_i = 1 and _j = 1").select(feed, number, file, "old", "new"))
-
-    # The type known last: within the files in a row that have the path, or the fields it was renamed from.
-    started = schemas.join(come.select(feed, number, "path", F.lit(True).alias("_start")), [feed, number, "path"], "left")
-    first = before.select(feed, number, F.lit(True).alias("_later"))
-    started = started.join(first, [feed, number], "left").withColumn("_start", F.coalesce("_start", F.col("_later").isNull()))
-    known = carried(started, [feed, "path"], number, F.when(F.col("main").isNotNull(), F.struct(F.col(number).alias("n"), F.col("main").alias("m"))), "_known")
-    known = carried(known, [feed, "path"], number, F.when(F.col("_start"), F.col(number)), "_from")
-    begin = F.when(F.col("_start"), F.col(number)).otherwise(F.col("_from"))
-    last = F.coalesce("main", F.when(F.col("_known.n") >= begin, F.col("_known.m")))
-    typed = known.select(feed, number, "path", "main", last.alias("last"))
-
-    stays = both.where("_was and _is").select(feed, number, file, "_n0", F.col("path").alias("old"), F.col("path").alias("new"))
-    kept = stays.unionByName(renames.join(before.select(feed, number, "_n0"), [feed, number]).select(feed, number, file, "_n0", "old", "new"))
-    a = typed.select(feed, F.col(number).alias("_n0"), F.col("path").alias("old"), F.col("last").alias("_a"))
-    b = typed.select(feed, number, F.col("path").alias("new"), F.col("main").alias("_b"))
-    retyped = kept.join(a, [feed, "_n0", "old"]).join(b, [feed, number, "new"]).where("_a <> _b").select(file, F.col("new").alias("field_name"), F.lit("retyped").alias("change_kind"), "old")
-
-    renamed = renames.select(file, F.col("new").alias("field_name"), F.lit("renamed").alias("change_kind"), "old")
-    added = come.join(renames.select(feed, number, F.col("new").alias("path")), [feed, number, "path"], "left_anti").select(file, F.col("path").alias("field_name"), F.lit("added").alias("change_kind"), F.lit(None).cast("string").alias("old"))
-    removed = gone.join(renames.select(feed, number, F.col("old").alias("path")), [feed, number, "path"], "left_anti").select(file, F.col("path").alias("field_name"), F.lit("removed").alias("change_kind"), F.lit(None).cast("string").alias("old"))
-    changes = added.unionByName(removed).unionByName(renamed).unionByName(retyped).withColumnRenamed("old", "old_name")
-    return {"changes": changes, "schemas": schemas, "renames": renames}
+    pairs = pairs.withColumn("_i", F.row_number().over(W.partitionBy(feed, number, "old").orderBy(*order, "new"))).withColumn("_j", F.row_number().over(W.partitionBy(feed, number, "new").orderBy(*order, "old")))
+    renames = cut(pairs.where("_i = 1 and _j = 1").select(feed, number, file, "old", "new", "a", "b"))
+
+    none = F.lit(None).cast("string")
+    row = lambda df, name, kind, before: df.select(file, F.col(name).alias("field_name"), F.lit(kind).alias("change_kind"), before.alias("old_name"))
+    marks = moved.select(feed, number, file, "path", side.alias("side"), F.lit(0).alias("_renamed"))
+    for k in ("old", "new"):
+        marks = marks.unionByName(renames.select(feed, number, file, F.col(k).alias("path"), F.lit(k).alias("side"), F.lit(1).alias("_renamed")))
+    plain = marks.groupBy(feed, number, file, "path", "side").agg(F.max("_renamed").alias("_renamed")).where("_renamed = 0")
+    changes = plain.select(file, F.col("path").alias("field_name"), F.when(F.col("side") == "new", "added").otherwise("removed").alias("change_kind"), none.alias("old_name"))
+    changes = changes.unionByName(row(both.where("_was + _is = 2 and _old <> _new"), "path", "retyped", F.col("path")))
+    changes = changes.unionByName(row(renames, "new", "renamed", F.col("old"))).unionByName(row(renames.where("a <> b"), "new", "retyped", F.col("old")))
+    return {"changes": changes, "schemas": schemas, "renames": renames.select(feed, number, file, "old", "new")}
 
 
 def lineages(schemas: DataFrame, renames: DataFrame, most: int = 10_000) -> dict[str, list[str]]:

@@ -19,9 +19,8 @@ def carried(df: DataFrame, keys: list[str], order: str, value: Column, name: str
     block = F.floor(F.col(order) / width)
     df = df.withColumn("_block", block).withColumn("_value", value)
     inside = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    per_block = df.where(F.col("_value").isNotNull()).groupBy(*keys, "_block").agg(F.max_by("_value", order).alias("_last"))
-    all_blocks = df.groupBy(*keys, "_block").agg(F.lit(1).alias("_one")).join(per_block, [*keys, "_block"], "left")
+    blocks = df.groupBy(*keys, "_block").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_last"))
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carry = all_blocks.select(*keys, "_block", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    carry = blocks.select(*keys, "_block", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     out = df.withColumn("_in", F.last("_value", ignorenulls=True).over(inside)).join(carry, [*keys, "_block"], "left")
     return out.withColumn(name, F.coalesce("_in", "_carry")).drop("_in", "_carry", "_value", "_block")
