@@ -10,17 +10,18 @@ from cindral.functions.sphere import EARTH_M
 from cindral.llm.bpe import encoded
 from cindral.llm.components import components, event_links
 from cindral.llm.mojibake import garbled, restored
-from cindral.llm.nearest_time import firms_position, firms_time, nearest_in_time
+from cindral.llm.nearest_time import nearest_in_time
 from cindral.llm.overlap import FAR, NEAR, SEASON, SIZE, overlap_report, overlaps
 from cindral.llm.packing import packed
+from cindral.sources import firms as firms_csv
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detection nearest in time to each FIRMS record within 2,000 m and 900 s: det_id, firms_id."""
     det = read(spark, sf_dir, "detections", "det_id", "t", "lon", "lat")
     firms = read(spark, sf_dir, "firms", "firms_id", "latitude", "longitude", "acq_date", "acq_time")
-    lon, lat = firms_position(F.col("longitude"), F.col("latitude"))
-    firms = firms.select("firms_id", lon.alias("lon"), lat.alias("lat"), firms_time(F.col("acq_date"), F.col("acq_time")).alias("t"))
+    lon, lat = firms_csv.position(F.col("longitude"), F.col("latitude"))
+    firms = firms.select("firms_id", lon.alias("lon"), lat.alias("lat"), firms_csv.acquired(F.col("acq_date"), F.col("acq_time")).alias("t"))
     return nearest_in_time(firms, det, "firms_id", "det_id", 900, 2000).select("det_id", "firms_id")
 
 
