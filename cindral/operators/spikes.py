@@ -44,6 +44,7 @@ READINGS = {
 }
 
 SIDE = 9  # readings before and after that make the surroundings
+ONE_SIDED = 0.85  # at the ends of a series there is one side only, from which noise is further away than from the nearer of two
 STUCK = 5
 KEEP = 3.0  # residuals (in scales) below this are counted in the histogram only
 BINS, BIN = 400, 0.05
@@ -84,6 +85,7 @@ def residuals(x: np.ndarray, group: np.ndarray, kind: Reading, side: int = SIDE)
     b, a = np.where(np.isnan(before), after, before), np.where(np.isnan(after), before, after)
     lo, hi = np.minimum(a, b), np.maximum(a, b)
     d = np.where(y > hi, y - hi, np.where(y < lo, y - lo, 0.0))
+    d = np.where(np.isnan(before) | np.isnan(after), ONE_SIDED * d, d)
     start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     index = np.cumsum(np.append(True, group[1:] != group[:-1])) - 1
 
@@ -137,7 +139,7 @@ def _chunked(df: DataFrame, chunk: int, halo: int) -> DataFrame:
     return rest.select(*cols, "_chunk", "_halo").unionByName(big.select(*cols, "_chunk").withColumn("_halo", F.lit(False))).unionByName(to_next.unionByName(to_prev).withColumn("_halo", F.lit(True)))
 
 
-def tail_cutoff(counts: np.ndarray, risk: float, tail: float = 0.05, least: float = 4.0) -> float:
+def tail_cutoff(counts: np.ndarray, risk: float, tail: float = 0.05, least: float = 5.0) -> float:
     """Level (in scales) that a normal reading exceeds with the given risk: generalised Pareto tail beyond the (1 - tail) quantile.
 
     counts: histogram of |residual| in bins of BIN. Shape and scale come from two low quantiles of the excesses, which the few wrong
