@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cindral.session import cut
 
-K, WINDOW = 4, 2  # any common stretch of K + WINDOW - 1 characters shares a selected hash
+K, WINDOW = 3, 2  # any common stretch of K + WINDOW - 1 characters shares a selected hash
 NEAR, FAR = 0.0066, 0.0178  # degrees: named records (rounding of coordinates), records without name
 SIZE = 0.968  # smallest ratio of two areas of one fire
 SEASON = 31  # days by which a date may be off, whatever the year
