@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cindral.frames import ntz, read
 from cindral.functions import codes, fireweather, geometry, radiative, spectral
 from cindral.functions.grids import GRS80_A, GRS80_E2, AnalysisGrid, RasterSpec, block_key, parse_tile_id, project
-from cindral.operators import features, linking, models, raster, scores, series, serving, splits
+from cindral.operators import features, linking, models, planning, protocols, raster, scores, series, serving, splits
 from cindral.session import cut
 from cindral.sources import firms, store
 
@@ -796,3 +796,33 @@ def ref_leakage(spark, sf):
 def ref_burned_area(spark, sf):
     q = models.conditional_quantiles(units(spark, sf).where("area_ha IS NOT NULL"), ["ecoregion"], "area_ha", [0.25, 0.5, 0.9])
     return q.select("ecoregion", "n", r6(F.get("q", F.lit(1)), "median_ha", 4))
+
+
+@query("ref_plans")
+def ref_plans(spark, sf):
+    return planning.costed(planning.standard_plans(spark)).select("name", "n_tiles", r6(F.col("disk_gb"), "disk_gb", 4), r6(F.col("download_tb"), "download_tb", 6), "granule_reads", r6(F.col("wall_clock_hours"), "hours", 4))
+
+
+@query("ref_fold_skill")
+def ref_fold_skill(spark, sf):
+    """Skill of an area threshold tuned on each fold's training years, per continent."""
+    u = units(spark, sf).where("area_ha IS NOT NULL").withColumn("y", (F.length("fire_name") > 11).cast("int"))
+    f = protocols.fold_skill(u.select("uid", "area_ha", "continent", "y"), splits.leave_year_out(units(spark, sf)), "area_ha", "y", strata="continent")
+    return f.select("fold", "tp", "fp", "fn", "tn", r6(F.col("f1"), "f1", 8), r6(F.col("naive_f1"), "naive_f1", 8), r6(F.col("skill"), "skill", 8))
+
+
+@query("ref_group_thresholds", f"""WITH {_LAB.replace("'confidence'", "'confidence'")}, z AS (SELECT q.y AS g, q.v, (q.p > 0.7)::INT AS y FROM q), l AS (SELECT g, min(v) AS lo, max(v) AS hi, sum(y) AS pos FROM z GROUP BY 1), c AS (SELECT g, i, lo + i * (hi - lo) / 199 AS t, pos FROM l, range(200) r(i)),
+s AS (SELECT c.g, i, t, 2.0 * sum(y) FILTER (v > t) / (count(*) FILTER (v > t) + any_value(pos)) AS f1 FROM z JOIN c ON c.g = z.g GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY f1 DESC, i) AS k FROM s WHERE f1 IS NOT NULL) SELECT g, round(t, 5) AS threshold, round(f1, 8) AS f1 FROM k WHERE k = 1""")
+def ref_group_thresholds(spark, sf):
+    d = _labelled(spark, sf).select(F.col("y").alias("g"), "v", (F.col("p") > 0.7).cast("int").alias("y"))
+    return protocols.cuts_by(d, ["g"], "v", "y").select("g", r6(F.col("threshold"), "threshold", 5), r6(F.col("f1"), "f1", 8))
+
+
+@query("ref_first_frames", f"""WITH {sql_det('t', 'lon', 'lat', 'pixel_id')}, p AS (SELECT pixel_id, round(avg(lon), 4) AS plon, round(avg(lat), 4) AS plat FROM d WHERE lon BETWEEN -170 AND -60 GROUP BY 1), f AS (SELECT i AS frame_idx, TIMESTAMP '2017-07-01 00:00:00' + to_minutes(i * 45) AS ft FROM range(600) r(i)),
+n AS (SELECT p.pixel_id, min(d.t) AS t FROM p JOIN d ON d.lat BETWEEN plat - 0.05 AND plat + 0.05 AND d.t IS NOT NULL AND sqrt(pow((plat - d.lat) * 111.0, 2) + pow((plon - d.lon) * 111.0 * cos(radians(d.lat)), 2)) <= 3.0 GROUP BY 1)
+SELECT pixel_id, min(frame_idx)::INT AS frame_idx FROM n JOIN f ON ft >= t GROUP BY 1""")
+def ref_first_frames(spark, sf):
+    d = det(spark, sf, "t", "lon", "lat", "pixel_id")
+    p = d.where("lon BETWEEN -170 AND -60").groupBy("pixel_id").agg(F.round(F.avg("lon"), 4).alias("lon"), F.round(F.avg("lat"), 4).alias("lat"))
+    f = spark.range(600).select(F.col("id").cast("int").alias("frame_idx"), F.timestamp_seconds(F.lit(1498867200) + F.col("id") * 2700).alias("t"))
+    return protocols.first_frames(d, p, f, 0.05)
