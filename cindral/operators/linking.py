@@ -5,6 +5,7 @@ Distance joins are equi-joins on grid cells: one side looks into the cells aroun
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -43,16 +44,52 @@ def links(det: DataFrame, key: str = "det_id", tolerance: str = "tolerance_m", m
     return p.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
 
 
-def groups(vertices: DataFrame, pairs: DataFrame, key: str, rounds: int = 60) -> DataFrame:
-    """(key, root): the smallest key of each connected group; unlinked vertices are their own group.
+def _smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices, smallest vertex of their group) for the edges (a, b)."""
+    names, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = both[: len(a)], both[len(a) :]
+    low = np.arange(len(names))
+    while len(i):
+        m = np.minimum(low[i], low[j])
+        np.minimum.at(low, low[i], m)
+        np.minimum.at(low, low[j], m)
+        while (low[low] != low).any():
+            low = low[low]
+        left = low[i] != low[j]
+        i, j = i[left], j[left]
+    return names, names[low]
 
-    Alternating star contraction on DataFrames: neighbours are hung on the smallest, large and small stars in turn, until the edges no
-    longer change; the number of rounds grows with the logarithm of the longest chain.
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of each partition replaced by (smallest of the group, member): fewer edges with the same groups."""
+
+    def run(batches):
+        import pandas as pd
+
+        parts = [(x["a"].to_numpy(), x["b"].to_numpy()) for x in batches]
+        if parts:
+            v, low = _smallest(*(np.concatenate(c) for c in zip(*parts)))
+            yield pd.DataFrame({"a": low, "b": v})[low != v]
+
+    return edges.mapInPandas(run, edges.schema)
+
+
+def groups(vertices: DataFrame, pairs: DataFrame, key: str, rounds: int = 60, local_edges: int = 1_000_000) -> DataFrame:
+    """(key, root): the smallest key of each connected group; unlinked vertices are their own group. Keys are whole numbers.
+
+    Edges are first contracted within their partitions. Up to local_edges of them (a bound on one task) the rest is one local step;
+    beyond it alternating stars: neighbours are hung on the smallest, large and small stars in turn, until the edges no longer change,
+    in a number of rounds that grows with the logarithm of the longest chain.
     """
-    e = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    state = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+    e = pairs.where("a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
+    e = cut(_contracted(e).distinct())
+    n = e.count()
+    if 0 < n <= local_edges:
+        e = _contracted(e.repartition(1))
+        n = 0
+    state = None
     for _ in range(rounds):
-        if not state["n"]:
+        if not n:
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -70,14 +107,14 @@ def groups(vertices: DataFrame, pairs: DataFrame, key: str, rounds: int = 60) ->
     return vertices.select(key).distinct().join(root, key, "left").select(key, F.coalesce("root", key).alias("root"))
 
 
-def clustered(det: DataFrame, key: str = "det_id", tolerance: str = "tolerance_m", max_gap_s: float = 12 * 3600.0, extra_m: float = 0.0, within: list[str] | None = None) -> DataFrame:
+def clustered(det: DataFrame, key: str = "det_id", tolerance: str = "tolerance_m", max_gap_s: float = 12 * 3600.0, extra_m: float = 0.0, within: list[str] | None = None, local_edges: int = 1_000_000) -> DataFrame:
     """det with `root`, the smallest key of its fire event. within: columns across which nothing is linked (tiles, coarse cells)."""
     det = cut(det)  # read by both sides of the link join and again for the result
     pairs = links(det, key, tolerance, max_gap_s, extra_m)
     if within:
         side = det.select(F.col(key).alias("k"), F.struct(*within).alias("w"))
         pairs = pairs.join(side.withColumnsRenamed({"k": "a", "w": "wa"}), "a").join(side.withColumnsRenamed({"k": "b", "w": "wb"}), "b").where(F.col("wa").eqNullSafe(F.col("wb"))).select("a", "b")
-    return det.join(groups(det, pairs, key), key)
+    return det.join(groups(det, pairs, key, local_edges=local_edges), key)
 
 
 def thinned(det: DataFrame, degrees: float = 0.02, minutes: int = 60, key: str = "det_id") -> DataFrame:

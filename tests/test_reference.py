@@ -106,7 +106,7 @@ def test_clusters_against_brute_force(spark):
     rows = detections()
     tol = geometry.SENSOR_TOLERANCE_M
     df = spark.createDataFrame(rows, "det_id long, sensor string, x double, y double, t timestamp, frp_mw double").withColumn("tolerance_m", geometry.tolerance_m(F.col("sensor"), mode="serving"))
-    got = {r["det_id"]: r["root"] for r in linking.clustered(df, max_gap_s=4 * 3600).collect()}
+    got, rounds = ({r["det_id"]: r["root"] for r in linking.clustered(df, max_gap_s=4 * 3600, local_edges=n).collect()} for n in (10**6, 0))
     top = list(range(len(rows)))
 
     def root(v):
@@ -119,7 +119,7 @@ def test_clusters_against_brute_force(spark):
             if abs((a[4] - b[4]).total_seconds()) <= 4 * 3600 and math.hypot(a[2] - b[2], a[3] - b[3]) <= max(tol[a[1]], tol[b[1]]):
                 p, q = root(a[0]), root(b[0])
                 top[max(p, q)] = min(p, q)
-    assert got == {i: root(i) for i in range(len(rows))} and len(set(got.values())) < len(rows)
+    assert got == rounds == {i: root(i) for i in range(len(rows))} and len(set(got.values())) < len(rows)
 
 
 def test_event_features(spark):
