@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from cindral.session import cut
 
 K, WINDOW = 3, 2  # any common stretch of K + WINDOW - 1 characters shares a selected hash
-NEAR, FAR = 0.0066, 0.0178  # degrees: named records (rounding of coordinates), records without name
+NEAR, FAR = 0.0066, 0.0178  # degrees: named records that date and group would make other parts of a group, records without name
+WIDE = 0.011  # degrees: named records otherwise; two recordings are each shifted or rounded by up to 0.005, plus a tenth
 SIZE = 0.968  # smallest ratio of two areas of one fire
 SEASON = 31  # days by which a date may be off, whatever the year
 
@@ -114,8 +115,8 @@ def same_fire(a: str = "a", b: str = "b") -> Column:
     doy = F.abs(F.dayofyear(c(a, "day")) - F.dayofyear(c(b, "day")))
     season = F.least(doy, 365 - doy) <= SEASON
     name = both("name")
-    at_place = (dx <= NEAR) & (dy <= NEAR)
-    named = name & at_place & ((size & yes(_similar(c(a, "name"), c(b, "name"))) & (equal_size | ~part)) | (~both("area") & yes(c(a, "name") == c(b, "name")) & yes(F.coalesce(season, F.lit(True))) & ((dx + dy == 0) | ~part)))
+    near, wide = (dx <= NEAR) & (dy <= NEAR), (dx <= WIDE) & (dy <= WIDE)
+    named = name & wide & ((size & yes(_similar(c(a, "name"), c(b, "name"))) & ((near & equal_size) | ~part)) | (near & ~both("area") & yes(c(a, "name") == c(b, "name")) & yes(F.coalesce(season, F.lit(True))) & ((dx + dy == 0) | ~part)))
     eco = yes(c(a, "eco") == c(b, "eco"))
     loose = F.when(both("day"), season & (eco | ~both("eco"))).otherwise(eco)
     unnamed = ~name & (dx <= FAR) & (dy <= FAR) & ((size & ((group & ((dx + dy == 0) | ~part)) | (~group & loose))) | (~both("area") & group & same_day))

@@ -194,6 +194,17 @@ def test_overlaps(spark):
     assert overlap.overlaps(df.limit(0), m).count() == 2 and overlap.overlaps(df, m.limit(0)).count() == 0
 
 
+def test_two_shifted_recordings_overlap(spark):
+    # Copies of one fire, each up to 0.005 degrees from it, are up to 0.01 apart; another part of the group at that distance is no copy.
+    u = [
+        ("a", -109.84, 35.14, day(10, 10), None, None, "s", "ibex-lake", 448.0), ("b", -109.8303, 35.1497, day(10, 23, 2019), "g1", "e1", "s", "Ibex  Lake", 450.4), ("c", -109.823, 35.14, day(10, 10), None, None, "s", "Ibex Lake", 448.0),
+        ("d", -107.5484, 36.2, day(9, 19), "g2", "e1", "s", "Knoll Ridge", 28.3), ("e", -107.5404, 36.2, day(9, 9), "g2", "e1", "s", "Knoll Ridge", 28.0), ("f", -107.5404, 36.2, day(9, 19, 2021), None, "e1", "s", "Umber Gap", 28.3),
+    ]
+    parts = [(0, "train", "a"), (0, "test", "b"), (0, "test", "c"), (0, "train", "d"), (0, "test", "e"), (0, "test", "f")]
+    got = overlap.overlaps(spark.createDataFrame(u, UNITS), spark.createDataFrame(parts, "fold int, split_name string, uid string"))
+    assert {(r["uid_a"], r["uid_b"]) for r in got.collect()} == {("a", "b")}
+
+
 def test_selected_share_a_hash(spark):
     from pyspark.sql import functions as F
 
