@@ -33,12 +33,16 @@ def links(det: DataFrame, key: str = "det_id", tolerance: str = "tolerance_m", m
     classes = d.groupBy("cls").count().select("cls")  # one row for each power of 2
     right = d.select(*(F.col(c).alias(f"{c}2") for c in d.columns))
     # The row of the wider class (ties: any) sets the cell size: 2**cls; the narrower row is put into the cells of every wider class.
-    left = d.withColumn("size", F.pow(F.lit(2.0), "cls")).withColumn("cx", F.explode(F.sequence(F.floor(F.col("x") / F.col("size")) - 1, F.floor(F.col("x") / F.col("size")) + 1)))
-    left = left.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y") / F.col("size")) - 1, F.floor(F.col("y") / F.col("size")) + 1))).withColumn("ct", F.explode(F.sequence(F.floor(F.col("u") / gap) - 1, F.floor(F.col("u") / gap) + 1)))
+    # Pairs of one class meet in one of two opposite steps, so half the steps do where no narrower class exists; 0 is the row's own cell.
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    step = lambda few: F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"), F.lit((s > (0, 0, 0)) - (s < (0, 0, 0))).alias("way")) for s in few for i, j, k in [s]))
+    left = d.join(F.broadcast(classes.agg(F.min("cls").alias("least"))), F.lit(True)).withColumn("size", F.pow(F.lit(2.0), "cls"))
+    left = left.withColumn("s", F.explode(F.when(F.col("cls") > F.col("least"), step(steps)).otherwise(step([s for s in steps if s >= (0, 0, 0)]))))
+    left = left.select("k", "x", "y", "u", "tol", "cls", F.col("s.way").alias("way"), *((F.floor(F.col(c) / w) + F.col(f"s.{i}")).alias(n) for n, c, w, i in (("cx", "x", F.col("size"), "i"), ("cy", "y", F.col("size"), "j"), ("ct", "u", F.lit(gap), "k"))))
     wider = F.broadcast(classes.withColumnRenamed("cls", "cls_w"))
     right = right.join(wider, F.col("cls2") <= F.col("cls_w")).withColumn("size2", F.pow(F.lit(2.0), "cls_w"))
     right = right.select("k2", "x2", "y2", "u2", "tol2", "cls2", F.col("cls_w").alias("cls"), F.floor(F.col("x2") / F.col("size2")).alias("cx"), F.floor(F.col("y2") / F.col("size2")).alias("cy"), F.floor(F.col("u2") / gap).alias("ct"))
-    p = left.join(right, ["cls", "cx", "cy", "ct"]).where((F.col("cls2") < F.col("cls")) | (F.col("k") < F.col("k2")))
+    p = left.join(right, ["cls", "cx", "cy", "ct"]).where((F.col("cls2") < F.col("cls")) | (F.col("way") > 0) | ((F.col("way") == 0) & (F.col("k") < F.col("k2"))))
     far = F.greatest("tol", "tol2")
     p = p.where((F.abs(F.col("u") - F.col("u2")) <= gap) & ((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) <= far * far))
     return p.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))

@@ -408,11 +408,18 @@ GAP_S = 3 * 3600.0
 _TOL = "6000.0"
 
 
+def _placed(spark, sf):
+    d = det(spark, sf, "t", "x", "y", "lon", "lat", "frp_mw", "view_zenith_deg", "confidence").where("x IS NOT NULL AND y IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL AND t IS NOT NULL")
+    return d.withColumn("sensor", F.lit("goes")).withColumn("tolerance_m", geometry.tolerance_m(F.lit("goes")))
+
+
 def events(spark, sf):
-    """Detections with their fire event (flat tolerances, three hours)."""
-    d = det(spark, sf, *DET).where("x IS NOT NULL AND y IS NOT NULL AND t IS NOT NULL").withColumn("sensor", F.lit("goes")).withColumn("tolerance_m", geometry.tolerance_m(F.lit("goes")))
-    thin = linking.thinned(d)
-    return linking.clustered(thin, max_gap_s=GAP_S)
+    """All detections with place and time, with their fire event (flat tolerances, three hours)."""
+    return linking.clustered(_placed(spark, sf), max_gap_s=GAP_S)
+
+
+def _thinned_events(spark, sf):
+    return linking.clustered(linking.thinned(_placed(spark, sf)), max_gap_s=GAP_S)
 
 
 _EVENTS = f"""{sql_det('t', 'x', 'y', 'lon', 'lat', 'frp_mw', 'view_zenith_deg', 'confidence')}, th AS (SELECT *, row_number() OVER (PARTITION BY round_even(lon / 0.02, 0), round_even(lat / 0.02, 0), floor(epoch_us(t) / 3600000000) ORDER BY t, det_id) AS i FROM d WHERE x IS NOT NULL AND y IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL AND t IS NOT NULL),
@@ -430,10 +437,25 @@ def ref_events(spark, sf):
 SELECT root, count(*) AS n_detections, round(max(h) - min(h), 4) AS duration_h, round(max(f), 4) AS peak_frp_mw, round(sum(f) + 1e-5, 3) AS total_frp_mw, round(CASE WHEN count(f) >= 3 AND max(hf) - min(hf) >= 0.5 THEN regr_slope(f, hf - 415000) + 1e-5 END, 2) AS growth,
   round(avg(v) + 1e-7, 5) AS mean_view_zenith_deg, round(avg(c) + 1e-7, 5) AS mean_confidence, round(sqrt(var_pop(x) + var_pop(y)) + 1e-4, 1) AS spread, round(avg(x) + 1e-4, 2) AS centroid_x, round(avg(y) + 1e-4, 2) AS centroid_y FROM g GROUP BY 1""")
 def ref_event_features(spark, sf):
-    f = linking.event_features(events(spark, sf))
+    return _features(events(spark, sf))
+
+
+def _features(e):
+    f = linking.event_features(e)
     return f.select("root", "n_detections", r6(F.col("duration_h"), "duration_h", 4), r6(F.col("peak_frp_mw"), "peak_frp_mw", 4), r6(F.col("total_frp_mw") + 1e-5, "total_frp_mw", 3), r6(F.col("frp_growth_mw_per_h") + 1e-5, "growth", 2), r6(F.col("mean_view_zenith_deg") + 1e-7, "mean_view_zenith_deg", 5), r6(F.col("mean_confidence") + 1e-7, "mean_confidence", 5), r6(F.col("spatial_spread_m") + 1e-4, "spread", 1), r6(F.col("centroid_x") + 1e-4, "centroid_x", 2), r6(F.col("centroid_y") + 1e-4, "centroid_y", 2))
 
 
+@query("ref_events_thinned", SQL["ref_events"])
+def ref_events_thinned(spark, sf):
+    """Events of the first detection of each 0.02-degree cell and hour, as the reference's evaluation thins them."""
+    return _thinned_events(spark, sf).select("det_id", "root")
+
+
+@query("ref_event_features_thinned", SQL["ref_event_features"])
+def ref_event_features_thinned(spark, sf):
+    return _features(_thinned_events(spark, sf))
+
+
 @query("ref_event_records")
 def ref_event_records(spark, sf):
     e = serving.event_records(events(spark, sf))

@@ -295,3 +295,18 @@ def test_stream_keeps_identity(spark, tmp_path):
     paths = sorted((tmp_path / "out").iterdir(), key=lambda p: int(p.name.split("=")[1]))
     out = [{(r["event_id"], r["is_update"], r["n_detections"]) for r in spark.read.parquet(str(p)).collect()} for p in paths]
     assert [o for o in out if o] == [{(5, False, 2)}, {(5, True, 3), (9, False, 1)}, {(12, False, 1)}]
+
+
+def test_event_queries_count_all_detections(spark, tmp_path):
+    from cindral.plans import reference as plans
+
+    # Six readings of one pixel in one hour and cell, and one of another fire: none may be thinned out.
+    kind = {"det_id": "long", "t": "timestamp_ntz", "mask_code": "short", "pixel_id": "long", "tile_id": "string", "satellite": "string", "granule_key": "string"}
+    row = lambda i, minute, x, frp: tuple({"det_id": i, "t": T0.replace(minute=minute), "x": x, "y": 0.0, "lon": -96.0 + x / 1e5, "lat": 23.0 + i % 2 / 1e4, "frp_mw": frp, "mask_code": 10, "pixel_id": 1, "tile_id": "", "satellite": "g", "granule_key": ""}.get(c, 0.5) for c in plans.DET)
+    rows = [row(i, 5 * i, 10.0 * (i % 3), float(i)) for i in range(1, 7)] + [row(9, 0, 50_000.0, 3.0)]
+    spark.createDataFrame(rows, ", ".join(f"{c} {kind.get(c, 'double')}" for c in plans.DET)).write.parquet(str(tmp_path / "detections.parquet"))
+    assert {tuple(r) for r in plans.ref_events(spark, str(tmp_path)).collect()} == {*((i, 1) for i in range(1, 7)), (9, 9)}
+    got = {r["root"]: (r["n_detections"], r["total_frp_mw"], r["peak_frp_mw"]) for r in plans.ref_event_features(spark, str(tmp_path)).collect()}
+    assert got[1][0] == 6 and abs(got[1][1] - 21.0) < 0.01 and got[1][2] == 6.0 and got[9][0] == 1
+    assert [(r["root"], r["n_detections"]) for r in plans.ref_event_records(spark, str(tmp_path)).collect()] == [(1, 6)]
+    assert {r["det_id"] for r in plans.ref_events_thinned(spark, str(tmp_path)).collect()} == {1, 9}
