@@ -4,7 +4,8 @@ Winnowing fingerprints: a record's text is its normalised name beside its place
 taken, the smallest of every `WINDOW` neighbours is selected, and selected hashes (with the place cell and the size class they belong to)
 are joined between records of the train part and records of the other parts. Shared seeds are chained by diagonal, the chain is extended
 by aligning the whole names, and the pair is decided by place, alignment, size and date. Records whose name is missing have no text to
-select from; the join takes them by place cell and size class alone.
+select from; the join takes them by place cell and size class alone. Named records without area are joined by selected hashes and by
+the place cell alone, and decided by place, name and season or group.
 
 Because every selected hash carries place and size class, a name or a place that a third of all records share does not bring records
 together that cannot be the same. Two records of one fire are told from neighbours at the same place by name and size, from others of
@@ -78,16 +79,18 @@ def _keys(u: DataFrame, probe: bool) -> DataFrame:
     df = u.withColumn("cx", F.explode(x)).withColumn("cy", F.explode(y))
     size = F.when(F.col("area").isNotNull(), classes).otherwise(F.array().cast("array<bigint>"))
     # Kinds of keys: 0 a selected hash within a size class; 1 and 2 a record without name with any of its size class, on either side;
-    # 3 the whole name and 4 the group, for records without area.
+    # 4 the group, for records without area; 5 and 6 a named record without area with any
+    # named record by selected hash or place alone, on either side.
     seeds = F.when(F.col("name").isNotNull(), selected(F.col("name"))).otherwise(F.array().cast("array<struct<h:bigint,pos:int>>"))
     mine, other = (2, 1) if probe else (1, 2)
     own = F.when(F.col("name").isNull(), F.array(F.lit(mine), F.lit(other))).otherwise(F.array(F.lit(other)))
     sized = F.flatten(F.transform(size, lambda s: F.concat(F.transform(seeds, lambda g: F.struct(F.xxhash64(F.lit(0), "cx", "cy", s, g["h"]).alias("h"), g["pos"].alias("pos"))), F.transform(own, lambda k: F.struct(F.xxhash64(k, F.col("cx"), F.col("cy"), s, F.lit(0).cast("long")).alias("h"), F.lit(0).alias("pos"))))))
-    whole = F.array(
-        F.when(F.col("name").isNotNull(), F.struct(F.xxhash64(F.lit(3), "cx", "cy", "name").alias("h"), F.lit(0).alias("pos"))),
-        F.when(F.col("grp").isNotNull(), F.struct(F.xxhash64(F.lit(4), "cx", "cy", "grp", F.date_format("day", "MMdd")).alias("h"), F.lit(0).alias("pos"))),
-    )
-    return df.select("uid", F.explode(F.concat(sized, F.filter(whole, lambda w: w.isNotNull()))).alias("k")).select("uid", F.col("k.h").alias("h"), F.col("k.pos").alias("pos"))
+    # Hash 0 at position 0 stands for the place alone: short names misspelled in the middle need not share a selected hash.
+    place = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("pos")))
+    hashes = lambda k: F.when(F.col("name").isNotNull(), F.transform(F.concat(seeds, place), lambda g: F.struct(F.xxhash64(F.lit(k), "cx", "cy", g["h"]).alias("h"), g["pos"].alias("pos")))).otherwise(F.array().cast("array<struct<h:bigint,pos:int>>"))
+    bare = F.concat(hashes(other + 4), F.when(F.col("area").isNull(), hashes(mine + 4)).otherwise(F.array().cast("array<struct<h:bigint,pos:int>>")))
+    grouped = F.array(F.when(F.col("grp").isNotNull(), F.struct(F.xxhash64(F.lit(4), "cx", "cy", "grp", F.date_format("day", "MMdd")).alias("h"), F.lit(0).alias("pos"))))
+    return df.select("uid", F.explode(F.concat(sized, bare, F.filter(grouped, lambda w: w.isNotNull()))).alias("k")).select("uid", F.col("k.h").alias("h"), F.col("k.pos").alias("pos"))
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -115,8 +118,9 @@ def same_fire(a: str = "a", b: str = "b") -> Column:
     doy = F.abs(F.dayofyear(c(a, "day")) - F.dayofyear(c(b, "day")))
     season = F.least(doy, 365 - doy) <= SEASON
     name = both("name")
+    similar = yes(_similar(c(a, "name"), c(b, "name")))
     near, wide = (dx <= NEAR) & (dy <= NEAR), (dx <= WIDE) & (dy <= WIDE)
-    named = name & wide & ((size & yes(_similar(c(a, "name"), c(b, "name"))) & ((near & equal_size) | ~part)) | (near & ~both("area") & yes(c(a, "name") == c(b, "name")) & yes(F.coalesce(season, F.lit(True))) & ((dx + dy == 0) | ~part)))
+    named = name & wide & ((size & similar & ((near & equal_size) | ~part)) | (~both("area") & similar & (yes(F.coalesce(season, F.lit(True))) | group) & ((dx + dy == 0) | ~part)))
     eco = yes(c(a, "eco") == c(b, "eco"))
     loose = F.when(both("day"), season & (eco | ~both("eco"))).otherwise(eco)
     unnamed = ~name & (dx <= FAR) & (dy <= FAR) & ((size & ((group & ((dx + dy == 0) | ~part)) | (~group & loose))) | (~both("area") & group & same_day))

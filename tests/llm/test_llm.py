@@ -205,6 +205,22 @@ def test_two_shifted_recordings_overlap(spark):
     assert {(r["uid_a"], r["uid_b"]) for r in got.collect()} == {("a", "b")}
 
 
+def test_overlaps_without_area(spark):
+    # A misspelled or cut name still meets where one or both of the records have no area; other names, seasons and parts of a group do not.
+    u = [
+        ("a", -110.0, 40.0, day(7, 1), None, "e1", "s", "Dusty Summit", 300.0), ("b", -110.004, 40.003, day(7, 9, 2022), None, "e1", "s", "Dusty Su.", None), ("c", -110.001, 40.0, day(7, 2), None, "e1", "s", "Umber Gap", None),
+        ("d", -100.0, 45.0, day(8, 1), None, None, "s", "Salt Sprnig", None), ("e", -100.003, 45.0, day(8, 1, 2019), None, None, "s", "Salt  Sprinng", None), ("f", -100.0, 45.001, day(2, 1), None, None, "s", "Salt Spring", 9.0),
+        ("g", -90.0, 35.0, day(5, 1), "g1", None, "s", "Iron Rim", None), ("h", -90.004, 35.0, day(5, 9), "g1", None, "s", "Iron Rim", 50.0), ("i", -90.003, 35.0, day(11, 1, 2018), "g1", None, "s", "Irno Rim", 50.0),
+    ]
+    parts = [(0, "train" if k in "bdg" else "test", k) for k in "abcdefghi"]
+    df, m = spark.createDataFrame(u, UNITS), spark.createDataFrame(parts, "fold int, split_name string, uid string")
+    assert {(r["uid_a"], r["uid_b"]) for r in overlap.overlaps(df, m).collect()} == {("a", "b"), ("d", "e"), ("g", "i")}
+    from pyspark.sql import functions as F
+
+    turned = m.withColumn("split_name", F.when(F.col("split_name") == "train", "test").otherwise("train"))
+    assert {(r["uid_a"], r["uid_b"]) for r in overlap.overlaps(df, turned).collect()} == {("a", "b"), ("d", "e"), ("g", "i")}
+
+
 def test_selected_share_a_hash(spark):
     from pyspark.sql import functions as F
 
