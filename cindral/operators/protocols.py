@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -57,17 +59,21 @@ def lead_by_stratum(per_fire: DataFrame, per_pixel: DataFrame, stratum: str = "s
 
 
 def first_frames(det: DataFrame, pixels: DataFrame, frames: DataFrame, cell_deg: float, most_km: float = 3.0) -> DataFrame:
-    """(pixel_id, frame_idx): first frame at or after a detection within most_km of a pixel's centre.
+    """(pixel_id, frame_idx): first frame at or after a detection within most_km of a pixel's centre, also across longitude 180.
 
     pixels: pixel_id, lon, lat. frames: frame_idx, t. Pixels are found by cells of at least the reach, frames by the hour.
     """
-    size = max(cell_deg, most_km / 111.0 * 2)
-    cell = lambda d: d.withColumn("_i", F.floor(F.col("lon") / size)).withColumn("_j", F.floor(F.col("lat") / size))
-    near = lambda c: F.explode(F.sequence(c - 1, c + 1))
+    turn = math.floor(360.0 / max(cell_deg, most_km / 111.0 * 2))  # cells round a parallel, all of one width
+    size = 360.0 / turn
+    cell = lambda d: d.withColumn("_i", F.pmod(F.floor((F.col("lon") + 180.0) / size), F.lit(turn))).withColumn("_j", F.floor(F.col("lat") / size))
     p = cell(pixels.select("pixel_id", "lon", "lat")).select("pixel_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), "_i", "_j")
     d = det.where("lon IS NOT NULL AND lat IS NOT NULL AND t IS NOT NULL").select("lon", "lat", F.unix_micros("t").alias("u"))
-    d = cell(d).withColumn("_i", near(F.col("_i"))).withColumn("_j", near(F.col("_j"))).join(p, ["_i", "_j"])
-    km = F.sqrt(F.pow((F.col("plat") - F.col("lat")) * 111.0, F.lit(2.0)) + F.pow((F.col("plon") - F.col("lon")) * 111.0 * F.cos(F.radians("lat")), F.lit(2.0)))
+    # Degrees of longitude shrink towards the poles: more cells to either side, at most all.
+    wide = F.ceil(F.least(most_km / 111.0 / F.greatest(F.cos(F.radians("lat")), F.lit(1e-6)), F.lit(180.0)) / size)
+    d = cell(d).withColumn("_i", F.explode(F.array_distinct(F.transform(F.sequence(F.col("_i") - wide, F.col("_i") + wide), lambda c: F.pmod(c, F.lit(turn))))))
+    d = d.withColumn("_j", F.explode(F.sequence(F.col("_j") - 1, F.col("_j") + 1))).join(p, ["_i", "_j"])
+    dlon = F.abs(F.col("plon") - F.col("lon"))
+    km = F.sqrt(F.pow((F.col("plat") - F.col("lat")) * 111.0, F.lit(2.0)) + F.pow(F.least(dlon, 360.0 - dlon) * 111.0 * F.cos(F.radians("lat")), F.lit(2.0)))
     first = d.where(km <= most_km).groupBy("pixel_id").agg(F.min("u").alias("u"))
     f = frames.select("frame_idx", F.unix_micros("t").alias("fu")).where("fu IS NOT NULL")
     # Within the hour of a detection frames are joined by the hour; where it has none left, the next hour with frames gives its first.

@@ -114,7 +114,7 @@ SELECT det_id, round(asin(-sy / sqrt(sx * sx + sy * sy + sz * sz)), 8) AS x, rou
 WHERE h * (h - sx) >= sy * sy + pow(6378137.0 / 6356752.31414, 2) * sz * sz""")
 def ref_fixed_grid(spark, sf):
     g = geometry.FixedGrid()
-    d = det(spark, sf, "lon", "lat").where("lon BETWEEN -140 AND -60 AND lat IS NOT NULL")
+    d = det(spark, sf, "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL")
     x, y = g.to_scan_angles("lat", "lon")
     return d.select("det_id", r6(x, "x", 8), r6(y, "y", 8), r6(g.view_zenith_deg("lat", "lon"), "vza")).where("x IS NOT NULL")
 
@@ -845,6 +845,11 @@ n AS (SELECT p.pixel_id, min(d.t) AS t FROM p JOIN d ON d.lat BETWEEN plat - 0.0
 SELECT pixel_id, min(frame_idx)::INT AS frame_idx FROM n JOIN f ON ft >= t GROUP BY 1""")
 def ref_first_frames(spark, sf):
     d = det(spark, sf, "t", "lon", "lat", "pixel_id")
-    p = d.where("lon BETWEEN -170 AND -60").groupBy("pixel_id").agg(F.round(F.avg("lon"), 4).alias("lon"), F.round(F.avg("lat"), 4).alias("lat"))
-    f = spark.range(600).select(F.col("id").cast("int").alias("frame_idx"), F.timestamp_seconds(F.lit(1498867200) + F.col("id") * 2700).alias("t"))
+    # The mean place of a pixel on both sides of longitude 180 is taken east of it.
+    mean, east = F.avg("lon"), F.avg(F.pmod(F.col("lon"), F.lit(360.0)))
+    p = d.where("lon IS NOT NULL AND lat IS NOT NULL").groupBy("pixel_id").agg(F.round(F.when(F.max("lon") - F.min("lon") > 180, F.when(east > 180, east - 360).otherwise(east)).otherwise(mean), 4).alias("lon"), F.round(F.avg("lat"), 4).alias("lat"))
+    # Frames of 45 minutes from the first day of the detections to the first frame at or after the last one.
+    step = F.expr("INTERVAL 45 MINUTES")
+    ends = d.agg(F.date_trunc("day", F.min("t")).alias("lo"), (F.max("t") + step).alias("hi")).where("lo IS NOT NULL")
+    f = ends.select(F.posexplode(F.sequence("lo", "hi", step)).alias("frame_idx", "t"))
     return protocols.first_frames(d, p, f, 0.05)

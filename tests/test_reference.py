@@ -310,3 +310,15 @@ def test_event_queries_count_all_detections(spark, tmp_path):
     assert got[1][0] == 6 and abs(got[1][1] - 21.0) < 0.01 and got[1][2] == 6.0 and got[9][0] == 1
     assert [(r["root"], r["n_detections"]) for r in plans.ref_event_records(spark, str(tmp_path)).collect()] == [(1, 6)]
     assert {r["det_id"] for r in plans.ref_events_thinned(spark, str(tmp_path)).collect()} == {1, 9}
+
+
+def test_first_frames_reach_every_pixel(spark, tmp_path):
+    from cindral.plans import reference as plans
+
+    # Later than 600 frames, both sides of longitude 180, far north where 3 km are more than a cell, and Alaska west of -140.
+    rows = [(1, dt.datetime(2017, 7, 1, 0, 10), -100.0, 40.0, 1), (2, dt.datetime(2017, 7, 30, 1, 0), -110.0, 40.0, 2), (3, dt.datetime(2017, 7, 2, 0, 0), 179.995, 50.0, 3), (4, dt.datetime(2017, 7, 1, 0, 45), -179.995, 50.0, 4)]
+    rows += [(5, dt.datetime(2017, 7, 3, 0, 0), 179.999, 20.0, 5), (6, dt.datetime(2017, 7, 3, 1, 0), -179.999, 20.0, 5), (7, dt.datetime(2017, 7, 4), -150.0, 75.0, 7), (8, dt.datetime(2017, 7, 5), -149.902, 75.0, 8), (9, dt.datetime(2017, 7, 6), -145.0, 20.0, 9)]
+    spark.createDataFrame(rows, "det_id long, t timestamp_ntz, lon double, lat double, pixel_id long").write.parquet(str(tmp_path / "detections.parquet"))
+    got = {r["pixel_id"]: r["frame_idx"] for r in plans.ref_first_frames(spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 29 * 32 + 2, 3: 1, 4: 1, 5: 64, 7: 96, 8: 96, 9: 160}
+    assert {r["det_id"] for r in plans.ref_fixed_grid(spark, str(tmp_path)).collect()} == {1, 2, 9}
