@@ -34,7 +34,7 @@ def _kind(v: Column) -> Column:
 
 
 def leaves(lines: DataFrame, keep: list[str], body: str = "body", depth: int = 6) -> DataFrame:
-    """(keep..., path, kind, value) of every leaf; value is the leaf as a string. Objects nested deeper than `depth` are leaves of kind object."""
+    """(keep..., path, kind, value) of every leaf; value is the leaf as a string. Empty objects have no leaf; fields nested deeper than `depth` raise."""
     spark = lines.sparkSession
     df = lines.select(*keep, F.try_parse_json(F.col(body)).alias("v")).where(F.col("v").isNotNull())
     df = df.where(_kind(F.col("v")) == "object").withColumn("path", F.lit(""))
@@ -49,7 +49,9 @@ def leaves(lines: DataFrame, keep: list[str], body: str = "body", depth: int = 6
         )
         if i == 0:
             df = df.where("path <> ''")
-    return df.select(*keep, "path", _kind(F.col("v")).alias("kind"), F.try_variant_get(F.col("v"), "$", "string").alias("value")).where("kind <> 'object'")
+    deep = F.schema_of_variant("v").startswith("OBJECT") & (F.schema_of_variant("v") != "OBJECT<>")
+    df = df.where(F.when(deep, F.raise_error(F.concat(F.lit(f"more than {depth} levels at "), F.col("path"))).cast("boolean")).otherwise(_kind(F.col("v")) != "object"))
+    return df.select(*keep, "path", _kind(F.col("v")).alias("kind"), F.try_variant_get(F.col("v"), "$", "string").alias("value"))
 
 
 def canonical(value: Column, kind: Column) -> Column:
@@ -140,7 +142,10 @@ def lineages(schemas: DataFrame, renames: DataFrame, most: int = 10_000) -> dict
             p = top[p]
         return p
 
-    for r in renames.groupBy("old", "new").count().limit(most * 100).collect():
+    pairs = renames.groupBy("old", "new").count().limit(most * 100 + 1).collect()
+    if len(pairs) > most * 100:
+        raise ValueError(f"more than {most * 100} renames")
+    for r in pairs:
         a, b = root(r["old"]), root(r["new"])
         if a != b:
             a, b = sorted((a, b), key=lambda p: (-count[p], p))

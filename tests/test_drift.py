@@ -61,3 +61,15 @@ def test_carried(spark, width):
     rows = [("a", i, v) for i, v in enumerate([None, 1, None, None, 2, None, 3])] + [("b", 5, None), ("b", 9, 7), ("b", 10, None)]
     d = carried(spark.createDataFrame(rows, "k string, n int, v int"), ["k"], "n", F.col("v"), "last", width)
     assert {(r["k"], r["n"]): r["last"] for r in d.collect()} == {("a", 0): None, ("a", 1): None, ("a", 2): 1, ("a", 3): 1, ("a", 4): 1, ("a", 5): 2, ("a", 6): 2, ("b", 5): None, ("b", 9): None, ("b", 10): 7}
+
+
+def test_too_deep_and_too_many_raise(spark):
+    body = lambda n: "{\"a\":" * n + "1" + "}" * n
+    rows = lambda *b: spark.createDataFrame(lines([(1, list(b))]), SCHEMA)
+    assert {r["path"] for r in leaves(rows(body(6), '{"b": {}}'), ["file_id"]).collect()} == {"a.a.a.a.a.a"}
+    with pytest.raises(Exception, match="more than 6 levels"):
+        leaves(rows(body(7)), ["file_id"]).collect()
+    schemas = spark.createDataFrame([("a",)], "path string")
+    renames = spark.createDataFrame([("a", f"a{i}") for i in range(101)], "old string, new string")
+    with pytest.raises(ValueError, match="renames"):
+        lineages(schemas, renames, most=1)
