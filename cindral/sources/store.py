@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from cindral.session import checked, cut
+
+PARTS = ("year", "tile", "day")
 DETECTIONS = T.StructType(
     [T.StructField("t", T.TimestampType()), T.StructField("tile_id", T.StringType())]
     + [T.StructField(c, T.DoubleType()) for c in ("x", "y", "lon", "lat")]
@@ -61,12 +65,12 @@ class DetectionStore:
         return self.spark.read.schema(schema).parquet(self.rows)
 
     def manifest(self) -> DataFrame:
-        """Last record of every key (a truncated line is ignored)."""
+        """Last record of every key (a truncated line is ignored): that of the latest append, within one append the last line."""
         if not _exists(self.spark, self.log):
             return self.spark.createDataFrame([], MANIFEST)
-        d = self.spark.read.schema(MANIFEST).option("mode", "DROPMALFORMED").json(self.log).where("key IS NOT NULL").withColumn("_f", F.input_file_name()).withColumn("_i", F.monotonically_increasing_id())
-        m = d.withColumn("_m", F.col("_metadata.file_modification_time"))
-        return m.groupBy("key").agg(F.max_by(F.struct(*MANIFEST.names), F.struct("_m", "_i")).alias("r")).select("r.*")
+        order = [T.StructField("batch", T.LongType()), T.StructField("line", T.LongType())]
+        d = self.spark.read.schema(T.StructType([*MANIFEST.fields, *order])).option("mode", "DROPMALFORMED").json(self.log).where("key IS NOT NULL")
+        return d.groupBy("key").agg(F.max_by(F.struct(*MANIFEST.names), F.struct("batch", "line")).alias("r")).select("r.*")
 
     def pending(self, keys: DataFrame, retry_failed: bool = True) -> DataFrame:
         """Keys not yet done."""
@@ -75,31 +79,39 @@ class DetectionStore:
         return keys.join(done.select("key"), "key", "left_anti")
 
     def write(self, rows: DataFrame, records: DataFrame | None = None) -> None:
-        """Merges a batch: rows of the partitions it touches are kept unless their granule is in the batch; rows first, manifest after."""
-        new = rows.select(*DETECTIONS.names).withColumn("year", F.year("t")).withColumn("tile", F.when(F.col("tile_id") == "", "outside_grid").otherwise(F.coalesce(F.translate("tile_id", "/", "_"), F.lit("unknown")))).withColumn("day", F.to_date("t"))
-        parts = ["year", "tile", "day"]
-        from cindral.session import cut
+        """Merges a batch: rows of the partitions it touches are kept unless their granule is in the batch; rows first, manifest after.
 
+        Partitions are compared null-safe: rows without time share one (year and day null), which is kept and merged like any other. Rows
+        without granule are never replaced. Each append to the manifest gets a number above all before it.
+        """
+        tile = F.when(F.col("tile_id") == "", "outside_grid").otherwise(F.coalesce(F.translate("tile_id", "/", "_"), F.lit("unknown")))
+        new = rows.select(*DETECTIONS.names).withColumn("year", F.year("t")).withColumn("tile", tile).withColumn("day", F.to_date("t"))
         new = cut(new)
-        touched = new.select(*parts).distinct()
-        keys = new.select("granule_key").distinct()
+        touched = cut(new.select(*PARTS).distinct())
         # The days of the batch are a static filter, so that only their partitions are read.
-        lo, hi = new.agg(F.min("day"), F.max("day")).first()
-        if lo is not None:
-            old = self.read().where(F.col("day").between(lo, hi)).join(F.broadcast(touched), parts, "left_semi").join(keys, "granule_key", "left_anti").select(*new.columns)
+        n, timeless, lo, hi = touched.agg(F.count("*"), F.count_if(F.col("day").isNull()), F.min("day"), F.max("day")).first()
+        if n:
+            days = F.lit(False) if lo is None else F.col("day").between(lo, hi)
+            old = self.read().where(days | F.col("day").isNull() if timeless else days)
+            side = checked(touched.toDF(*(f"_{c}" for c in PARTS)))
+            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PARTS]
+            old = old.join(side, same, "left_semi").join(new.select("granule_key").distinct(), "granule_key", "left_anti").select(*new.columns)
             both = cut(old.unionByName(new))
-            both.repartition(*parts).sortWithinPartitions("t").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*parts).parquet(self.rows)
+            self._replace(both.repartition(*PARTS).sortWithinPartitions("t"))
         if records is not None:
-            records.select(*MANIFEST.names).coalesce(1).write.mode("append").json(self.log)
+            log = records.select(*MANIFEST.names).coalesce(1).withColumn("batch", F.lit(time.time_ns())).withColumn("line", F.monotonically_increasing_id())
+            log.write.mode("append").json(self.log)
+
+    def _replace(self, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*PARTS).parquet(self.rows)
 
     def compact(self, min_files: int = 2, dry_run: bool = False) -> DataFrame:
         """Rewrites partitions of several files as one each, after counting the rows again on disk; a report of the partitions."""
-        files = self.read().withColumn("_f", F.input_file_name()).groupBy("year", "tile", "day").agg(F.count_distinct("_f").alias("files"), F.count("*").alias("rows"))
-        from cindral.session import cut
-
+        files = self.read().withColumn("_f", F.input_file_name()).groupBy(*PARTS).agg(F.count_distinct("_f").alias("files"), F.count("*").alias("rows"))
         todo = cut(files.where(F.col("files") >= min_files))
         if not dry_run and not todo.isEmpty():
-            rows = cut(self.read().join(F.broadcast(todo.select("year", "tile", "day")), ["year", "tile", "day"], "left_semi"))
+            side = checked(todo.select(*(F.col(c).alias(f"_{c}") for c in PARTS)))
+            rows = cut(self.read().join(side, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PARTS], "left_semi"))
             stage = f"{self.root}/.compact-{uuid.uuid4().hex}"
             rows.repartition("year", "tile", "day").sortWithinPartitions("t").write.option("compression", "zstd").partitionBy("year", "tile", "day").parquet(stage)
             want, got = todo.agg(F.sum("rows")).first()[0], self.spark.read.parquet(stage).count()
@@ -107,7 +119,7 @@ class DetectionStore:
             if want != got:
                 fs.delete(p, True)
                 raise RuntimeError(f"compaction wrote {got} rows of {want}; nothing was replaced")
-            self.spark.read.schema(self.read().schema).parquet(stage).repartition("year", "tile", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("year", "tile", "day").parquet(self.rows)
+            self._replace(self.spark.read.schema(self.read().schema).parquet(stage).repartition(*PARTS))
             fs.delete(p, True)
         return todo
 
@@ -203,23 +215,36 @@ def feature_rows(events: DataFrame, properties: list[str], ring: str = "ring") -
     return events.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
 
 
-def feature_collection(events: DataFrame, properties: list[str], limit: int = 5000) -> str:
-    """A FeatureCollection of at most `limit` events: what one web page can show."""
-    rows = feature_rows(events.limit(limit), properties).collect()
-    return '{"type":"FeatureCollection","features":[' + ",".join(r["feature"] for r in rows) + "]}"
+def _shown(events: DataFrame, limit: int, strength: str, key: str) -> tuple[DataFrame, int]:
+    """The `limit` strongest events (nulls last, ties by key where there are such columns), and how many are left out."""
+    order = [F.desc_nulls_last(strength)] if strength in events.columns else []
+    order += [F.col(key)] if key in events.columns else [F.xxhash64(*events.columns)]
+    return events.orderBy(*order).limit(limit), max(0, events.count() - limit)
+
+
+def feature_collection(events: DataFrame, properties: list[str], limit: int = 5000, strength: str = "frp_max", key: str = "event_id") -> str:
+    """A FeatureCollection of the `limit` strongest events, what one web page can show; `omitted` is the number of the others."""
+    rows, omitted = _shown(events, limit, strength, key)
+    features = ",".join(r["feature"] for r in feature_rows(rows, properties).collect())
+    return f'{{"type":"FeatureCollection","omitted":{omitted},"features":[{features}]}}'
 
 
-def write_kmz(events: DataFrame, path: str, name: str = "name", color: str = "color", ring: str = "ring", limit: int = 5000) -> int:
-    """Zipped KML of at most `limit` polygons."""
-    rows = events.select(name, color, ring).limit(limit).collect()
+def write_kmz(events: DataFrame, path: str, name: str = "name", color: str = "color", ring: str = "ring", limit: int = 5000, strength: str = "frp_max", key: str = "event_id") -> tuple[int, int]:
+    """Zipped KML of the `limit` strongest polygons; (written, left out), also named in the document."""
+    shown, omitted = _shown(events, limit, strength, key)
+    rows = shown.select(name, color, ring).collect()
     marks = []
     for r in rows:
         c = (r[color] or "#8A8F98").lstrip("#")
         xy = " ".join(f"{p[0]:.5f},{p[1]:.5f},0" for p in r[ring])
-        marks.append(f"<Placemark><name>{escape(str(r[name]))}</name><Style><PolyStyle><color>99{c[4:6]}{c[2:4]}{c[0:2]}</color></PolyStyle></Style><Polygon><outerBoundaryIs><LinearRing><coordinates>{xy}</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>")
+        style = f"<Style><PolyStyle><color>99{c[4:6]}{c[2:4]}{c[0:2]}</color></PolyStyle></Style>"
+        area = f"<Polygon><outerBoundaryIs><LinearRing><coordinates>{xy}</coordinates></LinearRing></outerBoundaryIs></Polygon>"
+        marks.append(f"<Placemark><name>{escape(str(r[name]))}</name>{style}{area}</Placemark>")
+    head = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'
+    note = f"<description>{omitted} weaker events are left out</description>" if omitted else ""
     with zipfile.ZipFile(Path(path), "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("doc.kml", '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>' + "".join(marks) + "</Document></kml>")
-    return len(rows)
+        z.writestr("doc.kml", head + note + "".join(marks) + "</Document></kml>")
+    return len(rows), omitted
 
 
 def parse_current_weather(text: Column) -> Column:

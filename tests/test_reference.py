@@ -269,7 +269,44 @@ def test_json_and_kmz(spark, tmp_path):
     e = spark.createDataFrame([("a<b", "#E8552B", [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]])], "name string, color string, ring array<array<double>>")
     fc = json.loads(store.feature_collection(e, ["name"]))
     assert fc["features"][0]["properties"]["name"] == "a<b" and len(fc["features"][0]["geometry"]["coordinates"][0]) == 4
-    assert store.write_kmz(e, str(tmp_path / "x.kmz")) == 1
+    assert store.write_kmz(e, str(tmp_path / "x.kmz")) == (1, 0)
+    many = spark.createDataFrame([(i, float(i % 7), "#E8552B", [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]) for i in range(20)], "event_id long, frp_max double, color string, ring array<array<double>>")
+    fc = json.loads(store.feature_collection(many, ["event_id"], limit=4))
+    assert fc["omitted"] == 16 and [f["properties"]["event_id"] for f in fc["features"]] == [6, 13, 5, 12]
+    assert store.write_kmz(many, str(tmp_path / "y.kmz"), name="event_id", limit=4) == (4, 16)
+
+
+def test_store_keeps_rows_without_time(spark, tmp_path):
+    s = store.DetectionStore(spark, str(tmp_path / "a"))
+    row = lambda key, day, v: (dt.datetime(2020, 1, day, 1) if day else None, "conus/x0001_y0001", 1.0, 2.0, -100.0, 40.0, 10, 0.95, v, 400.0, 1.0, 1.0, 1.0, key)
+    frame = lambda *rows: spark.createDataFrame(list(rows), store.DETECTIONS)
+    s.write(frame(row("g1", None, 1.0), row("g1", 1, 2.0)))
+    s.write(frame(row("g2", None, 3.0)))
+    s.write(frame(row("g2", None, 4.0), row("g3", 1, 5.0)))
+    s.write(frame(row("g4", None, 6.0)).limit(0))
+    assert sorted((r["granule_key"], r["frp_mw"]) for r in s.read().collect()) == [("g1", 1.0), ("g1", 2.0), ("g2", 4.0), ("g3", 5.0)]
+    assert s.compact(min_files=1).count() == 2 and s.read().count() == 4
+    rec = lambda *r: spark.createDataFrame(r, store.MANIFEST)
+    for i in range(4):
+        s.write(frame(row("g4", 2, 6.0)), rec(("k", None, f"try {i}", 0, 0.1, None), ("k", None, f"again {i}", 0, 0.1, None)))
+    assert [r["status"] for r in s.manifest().collect()] == ["again 3"]
+
+
+def test_only_the_subpackage_may_be_missing():
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0], capture_output=True, text=True)
+    broken = run("import sys; sys.modules['cindral.operators.raster'] = None; import __spark_entry__ as e; e.queries()")
+    assert broken.returncode != 0 and "cindral.operators.raster" in broken.stderr
+
+
+def test_checkpoint_folder_is_asked_for_off_local():
+    from types import SimpleNamespace as N
+
+    from cindral import session
+
+    none = N(isDefined=lambda: False)
+    sc = N(getConf=lambda: N(get=lambda k, d: d), _jsc=N(sc=lambda: N(getCheckpointDir=lambda: none)), master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(N(sparkContext=sc))
 
 
 def test_features_without_coordinates(spark):
