@@ -158,7 +158,12 @@ def test_metrics_examples(spark):
     assert abs(a[1]["adjusted_area"] - 24000) < 1e-6 and abs(a[1]["users_accuracy"] - 0.9) < 1e-12
     with pytest.raises(Exception, match="fewer than two"):
         scores.estimate_areas(spark.createDataFrame([(0, 0, 1), (1, 1, 9)], "map_class int, ref_class int, n long"), spark.createDataFrame([(0, 1.0), (1, 1.0)], "map_class int, mapped_area double")).collect()
-    assert scores.allocate(500, [0.7, 0.2, 0.1], [2]) == [331, 94, 75]
+    strata = lambda *w: spark.createDataFrame([(i, float(x), i in (2, 3)) for i, x in enumerate(w)], "stratum int, weight double, rare boolean")
+    n = lambda d: [r["n"] for r in d.orderBy("stratum").collect()]
+    assert n(scores.allocate(strata(0.7, 0.2, 0.1), 500)) == [331, 94, 75]
+    assert n(scores.allocate(strata(0.3, 0.3, 0.1, 0.1, 0.2), 251)) == [39, 37, 75, 75, 25] and sum(n(scores.allocate(strata(0.3, 0.3, 0.1, 0.1, 0.2), 987))) == 987
+    with pytest.raises(Exception, match="below the floor"):
+        n(scores.allocate(strata(0.5, 0.3, 0.2), 74))
 
 
 def test_climatology_merge_is_single_pass(spark):
@@ -204,6 +209,16 @@ def test_fronts(spark):
     assert t[(1, 0, 7)] == 7 and abs(t[(1, 5, 5)] - math.hypot(5, 5)) < 1.2 and t[(2, 1, 1)] is None
     e = {(r["row"], r["col"]): r["arrival"] for r in raster.arrival_times(df.where("fire = 1"), ["fire"], wind="w", direction="d").collect()}
     assert abs(e[(4, 4)] - 4 * math.sqrt(2)) < 1e-9
+    # With wind along the columns: downwind at the head's speed, upwind slower by (1 + e) / (1 - e); every time is explained by a neighbour.
+    windy = [(1, r, c, 1.0, r == 6 and c == 6, 1.0, 0.0) for r in range(13) for c in range(13)]
+    d = spark.createDataFrame(windy, "fire int, row int, col int, ros double, seed boolean, w double, d double")
+    a = {(r["row"], r["col"]): r["arrival"] for r in raster.arrival_times(d, ["fire"], wind="w", direction="d").collect()}
+    ecc = math.sqrt(15) / 4
+    cost = lambda dy, dx: math.hypot(dy, dx) * (1 - ecc * math.cos(math.atan2(dy, dx))) / (1 - ecc)
+    assert abs(a[(6, 12)] - 6) < 1e-9 and abs(a[(6, 0)] - 6 * (1 + ecc) / (1 - ecc)) < 1e-9
+    for (y, x), t in a.items():
+        near = [a[(y - dy, x - dx)] + cost(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and (y - dy, x - dx) in a]
+        assert t == 0.0 if (y, x) == (6, 6) else abs(t - min(near)) < 1e-9
 
 
 def test_fss_and_dilation(spark):
