@@ -18,10 +18,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines as one table of the fields that every feed knows under some name."""
+    """All lines as one table of the fields that the feeds know under some name."""
     lines = read(spark, sf_dir, "raw_lines", "feed_id", "file_no", "file_id", "line_no", "body")
     got = drift(lines)
-    return unified(lines, lineages(got["schemas"], got["renames"]), ["file_id", "line_no"])
+    return unified(lines, got["schemas"], lineages(got["schemas"], got["renames"]), ["file_id", "line_no"])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

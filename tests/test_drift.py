@@ -32,13 +32,34 @@ def test_changes(spark):
     assert alt[(20, "flag")] == {"boolean": 1, "null": 1} and alt[(50, "flag")] == {"string": 1, "boolean": 1}
 
 
+def table(df):
+    got = drift(df)
+    names = lineages(got["schemas"], got["renames"])
+    return unified(df, got["schemas"], names, ["file_id", "line_no"]), {(r["feed_id"], r["path"]): r["field"] for r in names.collect()}
+
+
 def test_unified(spark):
     df = spark.createDataFrame(lines(FILES), SCHEMA)
-    got = drift(df)
-    fields = lineages(got["schemas"], got["renames"])
-    assert sorted(fields["Conf"]) == ["Conf", "conf"]
-    rows = {(r["file_id"], r["line_no"]): r for r in unified(df, fields, ["file_id", "line_no"]).collect()}
-    assert rows[(10, 0)]["Conf__number"] == 0.5 and rows[(20, 0)]["Conf__number"] == 0.7 and rows[(50, 0)]["flag__other"] == "yes" and rows[(10, 0)]["flag__boolean"] is True
+    got, names = table(df)
+    assert names[("f", "conf")] == names[("f", "Conf")] == "Conf" and names[("f", "a.x")] == names[("f", "b.c")] == "a.x"
+    assert dict(got.dtypes) == {"file_id": "bigint", "line_no": "int", "Conf": "double", "Conf__number": "double", "Conf__string": "string", "a.x": "double", "det_id": "double", "flag": "boolean", "flag__string": "string", "flag__boolean": "boolean", "new": "double"}
+    rows = {(r["file_id"], r["line_no"]): r for r in got.collect()}
+    assert rows[(10, 0)]["Conf"] == 0.5 and rows[(20, 0)]["Conf"] == 0.7 and rows[(20, 0)]["Conf__string"] == "0,7" and rows[(20, 0)]["Conf__number"] is None
+    assert rows[(50, 0)]["flag"] is None and rows[(50, 0)]["flag__string"] == "yes" and rows[(10, 0)]["flag"] is True and rows[(40, 0)]["a.x"] == 3.0
+    assert len(rows) == 9
+
+
+def test_unified_keeps_feeds_apart_and_odd_names(spark):
+    deep = {"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": 1}}}}}}}, "a.b": 2, "a_b": 3, "A_B": 4, "file_id": 5, "x`y": "s", "x": 1, "x__number": True}
+    rows = lines([(1, [{"det_id": 1, "p": 1.5}, {"det_id": 2, "p": 2.5}]), (2, [{"det_id": 2, "q": 2.5}, {"det_id": 3, "q": 9.5}])], "one")
+    rows += lines([(1, [{"det_id": 1, "q": "a", "x": "t"}]), (2, [{"det_id": 2, "q": "b"}])], "two") + [("three", 1, 77, 0, json.dumps(deep))]
+    got, names = table(spark.createDataFrame(rows, SCHEMA))
+    assert names[("one", "p")] == names[("one", "q")] == names[("two", "q")] == "q" and names[("three", "a.b.c.d.e.f.g.h")] == "a.b.c.d.e.f.g.h"
+    (r,) = [r for r in got.collect() if r["file_id"] == 77]
+    assert r["a.b.c.d.e.f.g.h"] == 1 and r["a.b"] == 2 and r["a_b_"] == 3 and r["A_B"] == 4 and r["file_id_"] == 5 and r["x`y"] == "s" and r["x__number"] is True and r["x__number_"] == 1.0
+    with pytest.raises(ValueError, match="more than 2 fields"):
+        d = drift(got_ := spark.createDataFrame(rows, SCHEMA))
+        unified(got_, d["schemas"], lineages(d["schemas"], d["renames"]), ["file_id"], most=2)
 
 
 def test_odd_input(spark):
@@ -63,13 +84,47 @@ def test_carried(spark, width):
     assert {(r["k"], r["n"]): r["last"] for r in d.collect()} == {("a", 0): None, ("a", 1): None, ("a", 2): 1, ("a", 3): 1, ("a", 4): 1, ("a", 5): 2, ("a", 6): 2, ("b", 5): None, ("b", 9): None, ("b", 10): 7}
 
 
-def test_too_deep_and_too_many_raise(spark):
+def test_any_depth_and_unreadable_lines(spark):
     body = lambda n: "{\"a\":" * n + "1" + "}" * n
-    rows = lambda *b: spark.createDataFrame(lines([(1, list(b))]), SCHEMA)
-    assert {r["path"] for r in leaves(rows(body(6), '{"b": {}}'), ["file_id"]).collect()} == {"a.a.a.a.a.a"}
-    with pytest.raises(Exception, match="more than 6 levels"):
-        leaves(rows(body(7)), ["file_id"]).collect()
-    schemas = spark.createDataFrame([("a",)], "path string")
-    renames = spark.createDataFrame([("a", f"a{i}") for i in range(101)], "old string, new string")
-    with pytest.raises(ValueError, match="renames"):
-        lineages(schemas, renames, most=1)
+    df = spark.createDataFrame(lines([(1, [body(7), body(300), body(200_000), '{"b": {}}', '{"n": NaN}', '{"s": "\\ud800"}', '{"s": 1} x'])]), SCHEMA)
+    assert {r["path"] for r in leaves(df, ["file_id"]).collect()} == {".".join("a" * 7), ".".join("a" * 300), "s"}
+    assert {r["path"] for r in drift(df)["schemas"].collect()} == {".".join("a" * 7), ".".join("a" * 300), "s"}
+
+
+def brute(rows):
+    """Changes of well-behaved files by plain dictionaries: no renames, every file has readable lines."""
+    files, out = {}, set()
+    for feed, n, file, _, b in rows:
+        files.setdefault((feed, n), (file, set()))[1].add(b)
+    known, before = {}, {}
+    for (feed, n), (file, bodies) in sorted(files.items()):
+        kinds = {}
+        for b in bodies:
+            for k, v in json.loads(b).items():
+                kinds.setdefault(k, []).append({int: "number", float: "number", str: "string", bool: "boolean", type(None): None}[type(v)])
+        last, now = before.get(feed), {}
+        for k, v in kinds.items():
+            some = [x for x in v if x]
+            now[k] = max(("number", "string", "boolean"), key=lambda x: (some.count(x), -("number", "string", "boolean").index(x))) if some else (last or {}).get(k)
+        if last is not None:
+            out |= {(file, k, "added") for k in now.keys() - last.keys()} | {(file, k, "removed") for k in last.keys() - now.keys()}
+            out |= {(file, k, "retyped") for k in now.keys() & last.keys() if any(kinds[k]) and last[k] and now[k] != last[k]}
+        before[feed] = now
+    return out
+
+
+def test_against_brute_force(spark):
+    import random
+
+    g = random.Random(6)
+    rows = []
+    for feed in ("f", "g"):
+        for n in range(1, 25):
+            have = [k for k in "abcde" if g.random() < 0.8]
+            kind = {k: g.choice(["n", "n", "n", "s", "b", None]) for k in have}
+            for i in range(g.randint(2, 6)):
+                # Records are never re-sent, so nothing can be a rename.
+                o = {"det_id": len(rows) * 10 + i} | {k: {"n": i + 0.5, "s": f"t{i}", "b": bool(i % 2), None: None}[kind[k] if g.random() < 0.9 else "s"] for k in have}
+                rows.append((feed, n, n * 2 + (feed == "g"), i, json.dumps(o)))
+    got = drift(spark.createDataFrame(rows, SCHEMA))["changes"].collect()
+    assert {(r["file_id"], r["field_name"], r["change_kind"]) for r in got} == brute(rows)
