@@ -1,9 +1,10 @@
 """Implausible readings of a source: impossible values, stuck runs and spikes (problem 5).
 
 A spike is a peak over threshold: each reading's residual is its distance from what the source shows around it (the medians of the
-readings before and after it, so that lasting changes of level and growth are normal), in units of the source's own scale. Over all
-sources a generalised Pareto tail is fitted to the residuals beyond a high quantile, and the cutoff is the level that a normal reading
-exceeds with a fixed small risk; times each source's scale it is that source's cutoff.
+readings before and after it, so that lasting changes of level and growth are normal), less the source's own offset for that time of
+day, in units of the source's own scale. Each source has a generalised Pareto tail fitted to its residuals beyond a quantile, and its cutoff
+is the level that a normal reading exceeds with a fixed small risk. Thirty readings say little of a tail: the shape is that of the
+tail of all sources of the field, and the source's cutoff is drawn towards theirs by how few residuals it rests on.
 
 A source's readings are ordered by time within bounded chunks: a source with more than `chunk` readings (a third of all rows, say) is
 split at quantiles of time, and each chunk also gets the last readings before and the first after it, so that no source is gathered
@@ -18,7 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -46,6 +47,8 @@ READINGS = {
 SIDE = 9  # readings before and after that make the surroundings
 ONE_SIDED = 0.85  # at the ends of a series there is one side only, from which noise is further away than from the nearer of two
 STUCK = 5
+SEASONS, SEASON_WEIGHT = 6, 10  # parts of the day; an offset of n readings counts n / (n + SEASON_WEIGHT)
+OWN_TAIL, OWN_WEIGHT = 0.25, 25  # share of a source's residuals that make its tail; a tail of k residuals counts k / (k + OWN_WEIGHT)
 KEEP = 3.0  # residuals (in scales) below this are counted in the histogram only
 BINS, BIN = 400, 0.05
 
@@ -76,27 +79,48 @@ def _group_median(v: np.ndarray, start: np.ndarray, order: np.ndarray) -> np.nda
     return (s[start + (n - 1) // 2] + s[start + n // 2]) / 2
 
 
-def residuals(x: np.ndarray, group: np.ndarray, kind: Reading, side: int = SIDE) -> np.ndarray:
-    """Signed distance of each value (in order of group and time, no NaN) from its surroundings, in scales of its group."""
+def _season(off: np.ndarray, s: np.ndarray, index: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Offset of each value's part of the day in its group: the median of the distances from the surroundings there, which a few wrong
+    readings hardly move (each counts two scales at most), weighed by their number."""
+    key = index * SEASONS + part
+    order = np.lexsort((np.clip(off, -2 * s[index], 2 * s[index]), key))
+    k = key[order]
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    n = np.diff(np.append(start, len(k)))
+    v = np.clip(off, -2 * s[index], 2 * s[index])[order]
+    median = (v[start + (n - 1) // 2] + v[start + n // 2]) / 2
+    out = np.empty(len(off))
+    out[order] = np.repeat(median * n / (n + SEASON_WEIGHT), n)
+    return out
+
+
+def residuals(x: np.ndarray, group: np.ndarray, kind: Reading, side: int = SIDE, part: np.ndarray | None = None) -> np.ndarray:
+    """Signed distance of each value (in order of group and time, no NaN) from its surroundings, in scales of its group.
+
+    part: the part of the day of each value, 0 to SEASONS - 1; without it there is no seasonal offset.
+    """
     if not len(x):
         return x
     y = np.log(np.maximum(x, 0.1)) if kind.log else x.astype(float)
     before, after = _medians(y, group, side)
     b, a = np.where(np.isnan(before), after, before), np.where(np.isnan(after), before, after)
     lo, hi = np.minimum(a, b), np.maximum(a, b)
-    d = np.where(y > hi, y - hi, np.where(y < lo, y - lo, 0.0))
-    d = np.where(np.isnan(before) | np.isnan(after), ONE_SIDED * d, d)
     start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     index = np.cumsum(np.append(True, group[1:] != group[:-1])) - 1
 
     def scale(v: np.ndarray) -> np.ndarray:
         return 1.4826 * _group_median(v, start, np.lexsort((v, index)))
 
-    off = np.where(np.isnan(lo), 0.0, np.abs(y - (lo + hi) / 2))
+    signed = np.where(np.isnan(lo), 0.0, y - (lo + hi) / 2)
+    off = np.abs(signed)
     step = np.abs(np.diff(y, append=y[-1]))
     last = np.append(start[1:], len(y)) - 1
     step[last] = np.where(last > 0, step[np.maximum(last - 1, 0)], 0.0)
     s = np.maximum(np.minimum(scale(off), scale(step) / np.sqrt(2)), kind.floor)
+    if part is not None:
+        y = y - _season(signed, s, index, part)
+    d = np.where(y > hi, y - hi, np.where(y < lo, y - lo, 0.0))
+    d = np.where(np.isnan(before) | np.isnan(after), ONE_SIDED * d, d)
     with np.errstate(divide="ignore", invalid="ignore"):
         z = d / s[index]
     return np.where(np.isnan(z), 0.0, z)
@@ -139,16 +163,30 @@ def _chunked(df: DataFrame, chunk: int, halo: int) -> DataFrame:
     return rest.select(*cols, "_chunk", "_halo").unionByName(big.select(*cols, "_chunk").withColumn("_halo", F.lit(False))).unionByName(to_next.unionByName(to_prev).withColumn("_halo", F.lit(True)))
 
 
-def tail_cutoff(counts: np.ndarray, risk: float, tail: float = 0.05, least: float = 5.0) -> float:
-    """Level (in scales) that a normal reading exceeds with the given risk: generalised Pareto tail beyond the (1 - tail) quantile.
+def own_tails(z: np.ndarray, group: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, e, k) of each group 0 .. size - 1 (z in order of group): the quantile of |z| where its tail begins, the p-quantile of the excesses
+    (p = 1 - 2**-0.5, which wrong readings move only if they are most of the tail), and the number of residuals in the tail."""
+    a = np.abs(z)
+    order = np.lexsort((a, group))
+    n = np.bincount(group, minlength=size)
+    start = np.cumsum(n) - n
+    s = np.append(a[order], 0.0)
+    level = lambda q: s[np.minimum(start + (q * np.maximum(n - 1, 0)).astype(int), len(a))]
+    u = level(1 - OWN_TAIL)
+    return u, np.maximum(level(1 - OWN_TAIL * 2**-0.5) - u, 1e-3), (OWN_TAIL * n).astype(int)
+
+
+def tail_shape(counts: np.ndarray, risk: float, tail: float = 0.05) -> tuple[float, float]:
+    """(shape, cutoff in scales that a normal reading exceeds with the given risk) of the residuals of all sources: generalised Pareto tail
+    beyond the (1 - tail) quantile.
 
     counts: histogram of |residual| in bins of BIN. Shape and scale come from two low quantiles of the excesses, which the few wrong
     readings among them hardly move: with p = 1 - 2**-0.5, (median / p-quantile) is 2**(shape / 2) + 1. Noise of instruments has no
-    heavy tail, so the shape is at most 0; nothing within `least` scales is ever implausible.
+    heavy tail, so the shape is at most 0.
     """
     n = counts.sum()
     if n == 0:
-        return np.inf
+        return 0.0, np.inf
     above = np.append(counts[::-1].cumsum()[::-1], 0).astype(float)
 
     def level(k: float) -> float:
@@ -163,13 +201,24 @@ def tail_cutoff(counts: np.ndarray, risk: float, tail: float = 0.05, least: floa
     shape = float(np.clip(2 * np.log2(max(q50 / q29 - 1.0, 1e-3)), -0.2, 0.0))
     scale = q50 / np.log(2.0) if shape > -1e-6 else q50 * shape / (2.0**shape - 1.0)
     ratio = k / (n * risk)
-    return max(least, u + (scale * np.log(ratio) if shape > -1e-6 else scale / shape * (ratio**shape - 1.0)))
+    return shape, u + (scale * np.log(ratio) if shape > -1e-6 else scale / shape * (ratio**shape - 1.0))
+
+
+def own_cutoff(shape: float, pooled: float, risk: float, floor: float) -> Column:
+    """Cutoff of a source with the tail (_u, _e, _k): of its own quantiles with the pooled shape, drawn towards the pooled cutoff, at least floor."""
+    ratio = OWN_TAIL / risk
+    flat = shape > -1e-6
+    scale = F.col("_e") * (2 / np.log(2.0) if flat else shape / (2.0 ** (shape / 2) - 1.0))
+    own = F.col("_u") + scale * float(np.log(ratio) if flat else (ratio**shape - 1.0) / shape)
+    weight = F.col("_k") / (F.col("_k") + F.lit(float(OWN_WEIGHT)))
+    return F.greatest(F.lit(float(floor)), weight * own + (1 - weight) * float(pooled))
 
 
-def implausible(df: DataFrame, key: str = "det_id", source: str = "pixel_id", time: str = "t", readings: dict[str, Reading] | None = None, least: int = 30, risk: float = 1e-5, chunk: int = 20_000) -> DataFrame:
+def implausible(df: DataFrame, key: str = "det_id", source: str = "pixel_id", time: str = "t", readings: dict[str, Reading] | None = None, least: int = 30, risk: float = 1e-5, chunk: int = 20_000, floor: float = 5.0) -> DataFrame:
     """(key, field_name, impossible, stuck, spike, residual) of the readings that are wrong in at least one way.
 
-    least: readings (rows) of a source from which spikes are looked for. risk: chance that a normal reading passes the cutoff.
+    least: readings (rows) of a source from which spikes are looked for. risk: chance that a normal reading passes the cutoff. floor: scales
+    within which nothing is far outside, however quiet the tail.
     """
     readings = readings or READINGS
     names = list(readings)
@@ -204,12 +253,14 @@ def implausible(df: DataFrame, key: str = "det_id", source: str = "pixel_id", ti
                 if r.stuck:
                     runs[i] = stuck(x[i], group[i])
                 i = np.flatnonzero(there & timed & ~impossible)
-                z[i] = residuals(x[i], group[i], r)
+                part = (p["_t"].values[i] // (86_400_000_000 // SEASONS) % SEASONS).astype(int)
+                z[i] = residuals(x[i], group[i], r, part=part)
                 z[~((size >= least) | hot)] = 0.0
                 fit = own[i] & (size[i] >= least)
+                u, e, n = own_tails(z[i], group[i], int(group.max(initial=-1)) + 1)
                 hist[c] += np.bincount(np.minimum((np.abs(z[i][fit]) / BIN).astype(int), BINS - 1), minlength=BINS)
                 k = np.flatnonzero(own & (impossible | runs | (np.abs(z) >= KEEP)))
-                out.append(pd.DataFrame({"_key": p["_key"].values[k], "field_name": c, "impossible": impossible[k], "stuck": runs[k], "residual": z[k], "bin": -1, "n": 0}))
+                out.append(pd.DataFrame({"_key": p["_key"].values[k], "field_name": c, "impossible": impossible[k], "stuck": runs[k], "residual": z[k], "_u": u[group[k]], "_e": e[group[k]], "_k": n[group[k]], "bin": -1, "n": 0}))
             return pd.concat(out, ignore_index=True)
 
         for b in batches:
@@ -225,9 +276,9 @@ def implausible(df: DataFrame, key: str = "det_id", source: str = "pixel_id", ti
             yield work(rest)
         for c in names:
             b = np.flatnonzero(hist[c])
-            yield pd.DataFrame({"_key": None, "field_name": c, "impossible": False, "stuck": False, "residual": 0.0, "bin": b, "n": hist[c][b]})
+            yield pd.DataFrame({"_key": None, "field_name": c, "impossible": False, "stuck": False, "residual": 0.0, "_u": 0.0, "_e": 0.0, "_k": 0, "bin": b, "n": hist[c][b]})
 
-    schema = f"_key {kind}, field_name string, impossible boolean, stuck boolean, residual double, bin int, n long"
+    schema = f"_key {kind}, field_name string, impossible boolean, stuck boolean, residual double, _u double, _e double, _k long, bin int, n long"
     sorted_ = spread(base, "_src", "_chunk").sortWithinPartitions("_src", "_chunk", "_t", "_key")
     done = cut(sorted_.mapInPandas(run, schema))
     # At most BINS rows for each field.
@@ -238,8 +289,8 @@ def implausible(df: DataFrame, key: str = "det_id", source: str = "pixel_id", ti
         for row in bins:
             if row["field_name"] == c:
                 h[row["bin"]] += row["n"]
-        cutoffs[c] = float(tail_cutoff(h, risk))
-    above = F.coalesce(*(F.when(F.col("field_name") == c, F.abs("residual") > (v if np.isfinite(v) else 1e300)) for c, v in cutoffs.items()))
+        cutoffs[c] = own_cutoff(*tail_shape(h, risk), risk, floor) if h.sum() else F.lit(1e300)
+    above = F.coalesce(*(F.when(F.col("field_name") == c, F.abs("residual") > v) for c, v in cutoffs.items()))
     found = done.where("bin < 0").withColumn("spike", above).where("impossible or stuck or spike")
     found = found.groupBy("_key", "field_name").agg(F.max("impossible").alias("impossible"), F.max("stuck").alias("stuck"), F.max("spike").alias("spike"), F.max_by("residual", F.abs("residual")).alias("residual"))
     return found.withColumnRenamed("_key", key)

@@ -2,7 +2,7 @@ import datetime as dt
 
 import numpy as np
 
-from cindral.operators.spikes import Reading, implausible, residuals, stuck, tail_cutoff
+from cindral.operators.spikes import Reading, implausible, residuals, stuck, tail_shape
 
 SCHEMA = "det_id long, pixel_id long, t timestamp, frp_mw float, temp_k float, view_zenith_deg float"
 T0 = dt.datetime(2020, 1, 1)
@@ -72,4 +72,32 @@ def test_kernels():
     z = residuals(y, np.zeros(5000, int), Reading(-10, 10, floor=0.01))
     assert np.abs(z).max() < 5 and len(residuals(y[:0], np.zeros(0, int), Reading(0, 1))) == 0
     h = np.bincount(np.minimum((np.abs(z) / 0.05).astype(int), 399), minlength=400)
-    assert 5.0 <= tail_cutoff(h, 1e-5) < 9 and tail_cutoff(h * 0, 1e-5) == np.inf
+    shape, cutoff = tail_shape(h, 1e-5)
+    assert -0.2 <= shape <= 0 and 2.5 < cutoff < 9 and tail_shape(h * 0, 1e-5) == (0.0, np.inf)
+
+
+def test_own_tails_and_season():
+    from cindral.operators.spikes import SEASONS, own_tails
+
+    g = np.random.default_rng(1)
+    z = np.concatenate([g.normal(0, 1, 400), g.normal(0, 2, 400), [0.5]])
+    z[:8] = 90.0  # wrong readings do not move a tail
+    u, e, k = own_tails(z, np.repeat([0, 1, 3], [400, 400, 1]), 4)
+    assert 1.0 < u[0] < 1.35 and 1.5 < u[1] / u[0] < 2.6 and k.tolist() == [100, 100, 0, 0] and 0.05 < e[0] < 0.5
+    # A daily cycle of fixed offsets is normal with the parts of the day and stands out without.
+    part = np.arange(3000) % SEASONS
+    y = g.normal(0, 1, 3000) + np.array([0, 0, 4, 0, -4, 0])[part]
+    zero = np.zeros(3000, int)
+    spread = [np.abs(residuals(y, zero, Reading(-99, 99, floor=0.01), part=q)).mean() for q in (None, part)]
+    assert spread[1] < 0.8 * spread[0]
+
+
+def test_source_with_a_heavier_tail_has_a_higher_cutoff(spark):
+    from pyspark.sql import functions as F
+
+    from cindral.operators.spikes import own_cutoff
+
+    d = spark.createDataFrame([(1.2, 0.25, 100), (1.8, 0.8, 100), (1.8, 0.8, 8), (1.8, 0.8, 0)], "_u double, _e double, _k long").coalesce(1)
+    quiet, heavy, short, none = (r[0] for r in d.select(own_cutoff(-0.05, 6.0, 1e-5, 1.0).alias("c")).collect())
+    assert quiet < short < heavy and none == 6.0
+    assert d.select(F.min(own_cutoff(-0.05, 6.0, 1e-5, 50.0))).first()[0] == 50.0
