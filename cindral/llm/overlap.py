@@ -1,33 +1,41 @@
 """Same or near-same records across splits (problem 6).
 
-Winnowing fingerprints: a record's text is its normalised name beside its place and area. Rolling hashes of `K` characters of the name are
-taken, the smallest of every `WINDOW` neighbours is selected, and selected hashes (with the place cell and the size class they belong to)
-are joined between records of the train part and records of the other parts. Shared seeds are chained by diagonal, the chain is extended
-by aligning the whole names, and the pair is decided by place, alignment, size and date. Records whose name is missing have no text to
-select from; the join takes them by place cell and size class alone. Named records without area are joined by selected hashes and by
-the place cell alone, and decided by place, name and season or group.
+Winnowing fingerprints: a record's text is its normalised name between two marks. Rolling hashes of `K` letters of it are taken, the
+smallest of every window of neighbours is selected, and selected hashes (with the place cell and the size class they belong to) are
+joined between records of the train part and records of the other parts. The window is the widest that loses no pair: names that
+`_similar` accepts keep a stretch of at least as many common hashes, whatever was swapped, dropped, doubled or cut (see `window`). Shared
+seeds are chained by diagonal; pairs that share fewer seeds than the allowed edits leave are dropped, the others extended by aligning the
+whole names, and the pair is decided by the letters that the alignment leaves uncovered, by place, size and date. Records whose name is
+missing have no text to select from; the join takes them by place cell and size class alone. Named records without area are joined by
+selected hashes and place cell, and decided by place, name and season or group. Such keys are only made in cells that have such
+records.
 
 Because every selected hash carries place and size class, a name or a place that a third of all records share does not bring records
 together that cannot be the same. Two records of one fire are told from neighbours at the same place by name and size, from others of
 that name by place, and from other parts of one group by place, size and date together.
 
 Nulls and odd input: records without key or position take part only under their own key (in two parts of a fold); exact repeats count
-once, of different rows with one key one is taken; unknown parts and null folds are ignored; empty tables give empty results. A name
-without letters or digits counts as missing; an area of 0 or less counts as missing.
+once, of different rows with one key the largest (by columns in order, nulls smallest) is taken; unknown parts and null folds are
+ignored; empty tables give empty results. A name without letters or digits counts as missing; an area of 0 or less counts as missing.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cindral.session import cut
+from cindral.session import checked, cut
 
-K, WINDOW = 3, 2  # any common stretch of K + WINDOW - 1 characters shares a selected hash
+K = 2  # letters of a rolling hash
 NEAR, FAR = 0.0066, 0.0178  # degrees: named records that date and group would make other parts of a group, records without name
 WIDE = 0.011  # degrees: named records otherwise; two recordings are each shifted or rounded by up to 0.005, plus a tenth
 SIZE = 0.968  # smallest ratio of two areas of one fire
 SEASON = 31  # days by which a date may be off, whatever the year
+SHORT, LONG = 5, 9  # letters from which two, three edits are one name misspelled; shorter names must be equal
+CUT = 8  # letters that may be cut off a name
+CELLS = 16  # a cell of place or size is this many times as wide as the reach, so that a record looks into few
 
 
 def normal_name(c: Column) -> Column:
@@ -37,68 +45,99 @@ def normal_name(c: Column) -> Column:
     return F.when(short != "", short)
 
 
+def window(n: Column) -> Column:
+    """Hashes in a window for a name of n letters: the longest stretch of common hashes that every similar name shares with it.
+
+    A name of n letters between two marks has n + 1 hashes of two letters, and an edit changes at most two neighbouring ones. Three edits
+    leave n - 5 in at most four stretches. Of a name cut by up to `CUT` letters n - CUT hashes of the shorter are left, less two edits, in
+    at most three stretches. A wider window on one side selects hashes that a narrower one on the other side selects too.
+    """
+    return F.greatest(F.lit(1), F.least(F.ceil((n - 5) / 4), F.ceil((n - CUT - 4) / 3))).cast("int")
+
+
 def selected(name: Column) -> Column:
-    """Array of (hash, position) of the winnowed rolling hashes of a name (a name shorter than K is one hash)."""
-    n = F.greatest(F.char_length(name) - K + 1, F.lit(1))
-    grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(F.substring(name, i, F.lit(K))).alias("h"), i.alias("pos")))
-    starts = F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda j: F.array_min(F.slice(grams, j, F.lit(WINDOW)))))
+    """Array of (h, pos): the winnowed rolling hashes of a name."""
+    marked, n = F.concat(F.lit("^"), name, F.lit("$")), F.char_length(name)
+    grams = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.struct(F.xxhash64(F.substring(marked, i, F.lit(K))).alias("h"), i.alias("pos")))
+    wide = F.array_distinct(F.transform(F.sequence(F.lit(1), n + 2 - window(n)), lambda j: F.array_min(F.slice(grams, j, window(n)))))
+    return F.when(window(n) == 1, grams).otherwise(wide)
 
 
 def _records(units: DataFrame, key: str) -> DataFrame:
     area = F.col("area_ha").cast("double")
-    u = units.where(F.col(key).isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()).dropDuplicates([key])
-    return u.select(
+    u = units.where(F.col(key).isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(
         F.col(key).alias("uid"), (F.pmod(F.col("lon").cast("double") + 180.0, F.lit(360.0))).alias("x"), F.col("lat").cast("double").alias("y"), normal_name(F.col("fire_name")).alias("name"),
         F.when(area > 0, area).alias("area"), F.col("when_date").cast("date").alias("day"), F.col("group_id").alias("grp"), F.lower("ecoregion").alias("eco"), F.col("label_source").alias("label_source"),
     )
+    return u.groupBy("uid").agg(F.max(F.struct(*u.columns[1:])).alias("r")).select("uid", "r.*")
+
+
+def _steps(v: Column, lo: Column, hi: Column, step: float, probe: bool) -> Column:
+    """The step that v is in, or (probe) all steps from lo to hi."""
+    return F.sequence(F.floor(lo / step), F.floor(hi / step)) if probe else F.array(F.floor(v / step))
 
 
-def _steps(v: Column, step: float, reach: float, probe: bool) -> Column:
-    """The step that v is in, or (probe) all steps within reach of it."""
-    if not probe:
-        return F.array(F.floor(v / step))
-    return F.sequence(F.floor((v - reach) / step), F.floor((v + reach) / step))
+def _cells(u: DataFrame, probe: bool) -> DataFrame:
+    """u with its place cell (cx, cy), or (probe) one row for each cell within reach; cells divide the circle evenly."""
+    turn = math.floor(360.0 / (CELLS * FAR))
+    width, x, y = 360.0 / turn, F.col("x"), F.col("y")
+    around = F.transform(_steps(x, x - FAR, x + FAR, width, probe), lambda c: F.pmod(c, F.lit(turn)))
+    return u.withColumn("cx", F.explode(around)).withColumn("cy", F.explode(_steps(y, y - FAR, y + FAR, width, probe)))
 
 
-def _keys(u: DataFrame, probe: bool) -> DataFrame:
-    """(h, uid, pos): fingerprint keys of records; the probing side looks into all cells and size classes within reach."""
-    import math
+def _odd(u: DataFrame) -> DataFrame:
+    """(cx, cy, nameless, bare): cells with records without name, with named records without area."""
+    nameless, bare = F.col("name").isNull(), F.col("name").isNotNull() & F.col("area").isNull()
+    d = u.where(nameless | F.col("area").isNull()).groupBy("cx", "cy").agg(F.max(nameless).alias("nameless"), F.max(bare).alias("bare"))
+    return checked(cut(d), 32)
 
-    width, turn = 2 * FAR, math.floor(360.0 / (2 * FAR))
+
+def _keys(d: DataFrame, probe: bool, odd: DataFrame) -> DataFrame:
+    """(h, uid, pos): fingerprint keys of the records of _cells; the probing side looks into all size classes within reach.
+
+    odd: the other side's cells with records that lack name or area. Kinds of keys: 0 a selected hash within a size class; 1 and 2 the size
+    class alone, for a record without name on either side; 3 and 4 a selected hash alone, for a named record without area on either side;
+    5 group and day, for records without area.
+    """
     reach = -math.log(SIZE) * 1.001
-    x = F.transform(_steps(F.col("x"), width, FAR, probe), lambda c: F.pmod(c, F.lit(turn + 1)))
-    # The cell row where the circle closes is narrower than the others: both its neighbours are probed there.
-    if probe:
-        x = F.array_distinct(F.when(F.col("x") < 2 * width, F.array_append(x, F.lit(turn).cast("long"))).when(F.col("x") > 360.0 - 2 * width, F.array_append(F.array_append(x, F.lit(0).cast("long")), F.lit(turn).cast("long"))).otherwise(x))
-    y = _steps(F.col("y"), width, FAR, probe)
+    area, step = F.col("area"), CELLS * reach
     # Areas may differ by a share or, where rounded, by half a hectare.
-    lo, hi = F.least(F.log(F.col("area")) - reach, F.log(F.greatest(F.col("area") - 0.5, F.lit(0.05)))), F.greatest(F.log(F.col("area")) + reach, F.log(F.col("area") + 0.5))
-    step = 2 * reach
-    classes = F.sequence(F.floor(lo / step), F.floor(hi / step)) if probe else F.array(F.floor(F.log(F.col("area")) / step))
-    df = u.withColumn("cx", F.explode(x)).withColumn("cy", F.explode(y))
-    size = F.when(F.col("area").isNotNull(), classes).otherwise(F.array().cast("array<bigint>"))
-    # Kinds of keys: 0 a selected hash within a size class; 1 and 2 a record without name with any of its size class, on either side;
-    # 4 the group, for records without area; 5 and 6 a named record without area with any
-    # named record by selected hash or place alone, on either side.
-    seeds = F.when(F.col("name").isNotNull(), selected(F.col("name"))).otherwise(F.array().cast("array<struct<h:bigint,pos:int>>"))
+    lo = F.least(F.log(area) - reach, F.log(F.greatest(area - 0.5, F.lit(0.05))))
+    hi = F.greatest(F.log(area) + reach, F.log(area + 0.5))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    size = F.when(area.isNotNull(), _steps(F.log(area), lo, hi, step, probe)).otherwise(none("bigint"))
+    seeds = F.when(F.col("name").isNotNull(), F.col("seeds")).otherwise(none("struct<h:bigint,pos:int>"))
     mine, other = (2, 1) if probe else (1, 2)
-    own = F.when(F.col("name").isNull(), F.array(F.lit(mine), F.lit(other))).otherwise(F.array(F.lit(other)))
-    sized = F.flatten(F.transform(size, lambda s: F.concat(F.transform(seeds, lambda g: F.struct(F.xxhash64(F.lit(0), "cx", "cy", s, g["h"]).alias("h"), g["pos"].alias("pos"))), F.transform(own, lambda k: F.struct(F.xxhash64(k, F.col("cx"), F.col("cy"), s, F.lit(0).cast("long")).alias("h"), F.lit(0).alias("pos"))))))
-    # Hash 0 at position 0 stands for the place alone: short names misspelled in the middle need not share a selected hash.
-    place = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("pos")))
-    hashes = lambda k: F.when(F.col("name").isNotNull(), F.transform(F.concat(seeds, place), lambda g: F.struct(F.xxhash64(F.lit(k), "cx", "cy", g["h"]).alias("h"), g["pos"].alias("pos")))).otherwise(F.array().cast("array<struct<h:bigint,pos:int>>"))
-    bare = F.concat(hashes(other + 4), F.when(F.col("area").isNull(), hashes(mine + 4)).otherwise(F.array().cast("array<struct<h:bigint,pos:int>>")))
-    grouped = F.array(F.when(F.col("grp").isNotNull(), F.struct(F.xxhash64(F.lit(4), "cx", "cy", "grp", F.date_format("day", "MMdd")).alias("h"), F.lit(0).alias("pos"))))
-    return df.select("uid", F.explode(F.concat(sized, bare, F.filter(grouped, lambda w: w.isNotNull()))).alias("k")).select("uid", F.col("k.h").alias("h"), F.col("k.pos").alias("pos"))
+    d = d.join(odd, ["cx", "cy"], "left").select("uid", "name", "area", "cx", "cy", "grp", "day", F.coalesce("nameless", F.lit(False)).alias("nameless"), F.coalesce("bare", F.lit(False)).alias("bare"), size.alias("size"), seeds.alias("seeds"))
+    hashed = lambda kind, *c: F.xxhash64(F.lit(kind), F.col("cx"), F.col("cy"), *c)
+    key = lambda h, pos: F.struct(h.alias("h"), pos.cast("int").alias("pos"))
+    plain, empty = F.lit(0), none("struct<h:bigint,pos:int>")
+    sized = F.flatten(F.transform("size", lambda s: F.transform("seeds", lambda g: key(hashed(0, s, g["h"]), g["pos"]))))
+    by_size = lambda kind, when: F.when(when, F.transform("size", lambda s: key(hashed(kind, s), plain))).otherwise(empty)
+    by_name = lambda kind, when: F.when(when, F.transform("seeds", lambda g: key(hashed(kind, g["h"]), g["pos"]))).otherwise(empty)
+    lacks = F.col("name").isNull() | F.col("area").isNull()
+    group = F.when(F.col("grp").isNotNull() & (lacks | F.col("nameless") | F.col("bare")), F.array(key(hashed(5, F.col("grp"), F.date_format("day", "MMdd")), plain))).otherwise(empty)
+    keys = F.concat(sized, by_size(mine, F.col("name").isNull()), by_size(other, F.col("nameless")), by_name(mine + 2, F.col("area").isNull()), by_name(other + 2, F.col("bare")), group)
+    return d.select("uid", F.explode(keys).alias("k")).select("uid", F.col("k.h").alias("h"), F.col("k.pos").alias("pos"))
+
+
+def edits(n: Column) -> Column:
+    """Edits that a name of n letters (the shorter of two) may have to be the other misspelled."""
+    return F.when(n >= LONG, 3).when(n >= SHORT, 2).otherwise(0)
 
 
 def _similar(a: Column, b: Column) -> Column:
     """Whether one name can be the other misspelled (letters swapped or doubled) or cut short."""
     n = F.least(F.char_length(a), F.char_length(b))
-    most = F.when(n >= 9, 3).otherwise(2)
-    cut_ = F.levenshtein(F.substring(a, F.lit(1), n), F.substring(b, F.lit(1), n))
-    return (a == b) | ((n >= 5) & ((F.levenshtein(a, b) <= most) | ((cut_ <= 2) & (F.abs(F.char_length(a) - F.char_length(b)) <= 8))))
+    start = F.levenshtein(F.substring(a, F.lit(1), n), F.substring(b, F.lit(1), n))
+    return (a == b) | ((n >= SHORT) & ((F.levenshtein(a, b) <= edits(n)) | ((start <= 2) & (F.abs(F.char_length(a) - F.char_length(b)) <= CUT))))
+
+
+def enough_seeds(seeds: Column, a: Column, b: Column) -> Column:
+    """Whether two names share as many seeds as the allowed edits leave at least; where a window selects fewer than all hashes, one."""
+    n, m = F.least(F.char_length(a), F.char_length(b)), F.greatest(F.char_length(a), F.char_length(b))
+    left = F.when(n >= LONG, n - 5).when(n >= SHORT, n - 4).otherwise(1)
+    return seeds >= F.when(window(m) == 1, F.greatest(left, F.lit(1))).otherwise(1)
 
 
 def same_fire(a: str = "a", b: str = "b") -> Column:
@@ -133,14 +172,19 @@ def overlap_pairs(units: DataFrame, parts: DataFrame, key: str = "uid") -> DataF
     seeds: selected hashes they share; chain: the most on one diagonal; cover: share of a record's name that the alignment covers (null
     without names).
     """
-    member = parts.where(F.col(key).isNotNull()).select(F.col(key).alias("uid"), (F.col("split_name") == "train").alias("train")).distinct()
-    u = cut(_records(units, key))
-    left = _keys(u.join(member.where("train").select("uid"), "uid", "left_semi"), False).select("h", F.col("uid").alias("train"), F.col("pos").alias("i"))
-    right = _keys(u.join(member.where("not train").select("uid"), "uid", "left_semi"), True).select("h", F.col("uid").alias("other"), F.col("pos").alias("j"))
-    seeds = left.join(right, "h").where("train <> other").groupBy("train", "other", (F.col("i") - F.col("j")).alias("diagonal")).agg(F.count_distinct(F.when(F.col("i") > 0, F.col("i"))).alias("n"))
-    pairs = seeds.groupBy("train", "other").agg(F.sum("n").alias("seeds"), F.max("n").alias("chain"))
-    rec = F.struct(*(F.col(c) for c in u.columns))
-    pairs = pairs.join(u.select(F.col("uid").alias("train"), rec.alias("a")), "train").join(u.select(F.col("uid").alias("other"), rec.alias("b")), "other").where(same_fire())
+    member = parts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("uid")).agg(F.max(F.col("split_name") == "train").alias("is_train"), F.max(F.col("split_name") != "train").alias("is_other"))
+    u = cut(_records(units, key).join(member, "uid"))
+    rec = F.struct(*(F.col(c) for c in u.columns if c not in ("is_train", "is_other")))
+    with_seeds = u.withColumn("seeds", selected(F.col("name")))
+    home, around = _cells(with_seeds.where("is_train"), False), _cells(with_seeds.where("is_other"), True)
+    left = _keys(home, False, _odd(around)).select("h", F.col("uid").alias("train"), F.col("pos").alias("i"))
+    right = _keys(around, True, _odd(home)).select("h", F.col("uid").alias("other"), F.col("pos").alias("j"))
+    met = left.join(right, "h").where("train <> other").groupBy("train", "other", (F.col("i") - F.col("j")).alias("diagonal")).agg(F.count_distinct(F.when(F.col("i") > 0, F.col("i"))).alias("n"))
+    pairs = met.groupBy("train", "other").agg(F.sum("n").alias("seeds"), F.max("n").alias("chain"))
+    pairs = pairs.join(u.select(F.col("uid").alias("train"), rec.alias("a")), "train").join(u.select(F.col("uid").alias("other"), rec.alias("b")), "other")
+    unnamed = F.col("a.name").isNull() | F.col("b.name").isNull()
+    # Pairs may also meet by size or group alone (0 seeds); names that share too few seeds cannot be similar.
+    pairs = pairs.where((unnamed | enough_seeds(F.col("seeds"), F.col("a.name"), F.col("b.name"))) & same_fire())
     kept = F.greatest(F.char_length("a.name"), F.char_length("b.name")) - F.levenshtein("a.name", "b.name")
     return pairs.select("train", "other", "seeds", "chain", F.least(F.lit(1.0), kept / F.char_length("a.name")).alias("cover_train"), F.least(F.lit(1.0), kept / F.char_length("b.name")).alias("cover_other"))
 
@@ -162,7 +206,7 @@ def overlaps(units: DataFrame, parts: DataFrame, key: str = "uid") -> DataFrame:
 
 def overlap_report(units: DataFrame, parts: DataFrame, key: str = "uid") -> DataFrame:
     """(fold, split_name, label_source, records, overlapping, mean_cover): overlaps of each part and source; records: all of the part and source."""
-    src = units.where(F.col(key).isNotNull()).dropDuplicates([key]).select(F.col(key).alias("other"), "label_source")
+    src = units.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("other")).agg(F.max("label_source").alias("label_source"))
     m = _members(parts, key).where("split_name <> 'train'").withColumnRenamed("uid", "other")
     found = overlaps(units, parts, key).groupBy("fold", "split_name", "other").agg(F.max("cover_other").alias("cover"))
     return m.join(src, "other", "left").join(found, ["fold", "split_name", "other"], "left").groupBy("fold", "split_name", "label_source").agg(F.count("*").alias("records"), F.count("cover").alias("overlapping"), F.round(F.avg("cover"), 6).alias("mean_cover"))

@@ -11,7 +11,7 @@ from cindral.llm.bpe import encoded
 from cindral.llm.components import components, event_links
 from cindral.llm.mojibake import garbled, restored
 from cindral.llm.nearest_time import nearest_in_time
-from cindral.llm.overlap import FAR, NEAR, SEASON, SIZE, overlap_report, overlaps
+from cindral.llm.overlap import overlap_report, overlaps
 from cindral.llm.packing import packed
 from cindral.sources import firms as firms_csv
 
@@ -67,24 +67,26 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_restored": p9_restored}
 
 SQL = {
-    "p6_found": f"""
-WITH m AS (SELECT DISTINCT fold, split_name, uid FROM leave_year_out WHERE uid IS NOT NULL AND split_name IN ('train', 'val', 'test')),
-u0 AS (SELECT DISTINCT uid, lon AS x, lat AS y, regexp_replace(regexp_replace(lower(fire_name), '[^a-z0-9]', '', 'g'), '(.)fire$', '\\1') AS n,
-         area_ha AS area, when_date AS day, group_id AS g, lower(ecoregion) AS eco FROM example_units WHERE lon IS NOT NULL AND lat IS NOT NULL),
+    # Numbers are written out here, so that a change of the operator's constants shows.
+    "p6_found": """
+WITH m AS (SELECT DISTINCT fold, split_name, uid FROM leave_year_out WHERE fold IS NOT NULL AND uid IS NOT NULL AND split_name IN ('train', 'val', 'test')),
+u0 AS (SELECT DISTINCT uid, (lon + 180) - 360 * floor((lon + 180) / 360) AS x, lat AS y, regexp_replace(regexp_replace(lower(fire_name), '[^\\p{L}\\p{N}]', '', 'g'), '(.)fire$', '\\1') AS n,
+         CASE WHEN area_ha > 0 THEN area_ha END AS area, when_date AS day, group_id AS g, lower(ecoregion) AS eco FROM example_units WHERE lon IS NOT NULL AND lat IS NOT NULL),
 u AS (SELECT *, nullif(n, '') AS name FROM u0),
-p AS (SELECT a.uid AS t, b.uid AS o, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, a.name AS n1, b.name AS n2, least(length(a.name), length(b.name)) AS n,
+p AS (SELECT a.uid AS t, b.uid AS o, least(abs(a.x - b.x), 360 - abs(a.x - b.x)) AS dx, abs(a.y - b.y) AS dy, a.name AS n1, b.name AS n2, least(length(a.name), length(b.name)) AS n,
         a.area IS NOT NULL AND b.area IS NOT NULL AS ab, greatest(a.area, b.area) AS big, least(a.area, b.area) AS small,
         coalesce(a.g = b.g, false) AS g, coalesce(strftime(a.day, '%m%d') = strftime(b.day, '%m%d'), false) AS md,
         a.day IS NOT NULL AND b.day IS NOT NULL AS db, abs(date_diff('day', a.day, b.day)) AS apart,
         abs(dayofyear(a.day) - dayofyear(b.day)) AS doy, coalesce(a.eco = b.eco, false) AS eco, a.eco IS NULL OR b.eco IS NULL AS noeco
-      FROM u a JOIN u b ON a.uid <> b.uid AND b.x BETWEEN a.x - {FAR} AND a.x + {FAR} AND b.y BETWEEN a.y - {FAR} AND a.y + {FAR}),
-q AS (SELECT *, ab AND (small >= {SIZE} * big OR big - small <= 0.5) AS size, small >= 0.995 * big OR big - small <= 0.5 AS eqsize,
-        g AND db AND NOT md AND apart <= {SEASON} AS part, least(doy, 365 - doy) <= {SEASON} AS season,
+      FROM u a JOIN u b ON a.uid <> b.uid AND b.y BETWEEN a.y - 0.0178 AND a.y + 0.0178 AND least(abs(a.x - b.x), 360 - abs(a.x - b.x)) <= 0.0178),
+q AS (SELECT *, ab AND (small >= 0.968 * big OR big - small <= 0.5) AS size, small >= 0.995 * big OR big - small <= 0.5 AS eqsize,
+        g AND db AND NOT md AND apart <= 31 AS part, least(doy, 365 - doy) <= 31 AS season,
         n1 = n2 OR (n >= 5 AND (levenshtein(n1, n2) <= CASE WHEN n >= 9 THEN 3 ELSE 2 END
           OR (levenshtein(n1[:n], n2[:n]) <= 2 AND abs(length(n1) - length(n2)) <= 8))) AS sim FROM p),
 v AS (SELECT t, o FROM q WHERE
-   (n1 IS NOT NULL AND n2 IS NOT NULL AND dx <= {NEAR} AND dy <= {NEAR}
-     AND ((size AND sim AND (eqsize OR NOT part)) OR (NOT ab AND n1 = n2 AND coalesce(season, true) AND (dx + dy = 0 OR NOT part))))
+   (n1 IS NOT NULL AND n2 IS NOT NULL AND dx <= 0.011 AND dy <= 0.011
+     AND ((size AND sim AND ((dx <= 0.0066 AND dy <= 0.0066 AND eqsize) OR NOT part))
+       OR (NOT ab AND sim AND (coalesce(season, true) OR g) AND (dx + dy = 0 OR NOT part))))
    OR ((n1 IS NULL OR n2 IS NULL)
      AND ((size AND ((g AND (dx + dy = 0 OR NOT part)) OR (NOT g AND CASE WHEN db THEN season AND (eco OR noeco) ELSE eco END)))
           OR (NOT ab AND g AND md))))

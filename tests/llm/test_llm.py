@@ -166,8 +166,46 @@ def test_garbled_and_restored(spark):
 
 
 def test_forms():
-    assert "Ã©" in mojibake.run_forms("é") and mojibake.misread(mojibake.misread("é", "cp1252"), "cp1252") in mojibake.run_forms("é")
-    assert "caf├⌐" not in mojibake.word_forms("café") and "cafΘ" in mojibake.word_forms("café") and "caf�" in mojibake.word_forms("café")
+    assert "Ã©" in mojibake.run_forms("é") and mojibake.unread("Ã©", "cp1252") == "é" and mojibake.unread("é", "cp437") is None and mojibake.unread("жар", "cp1251") is None
+    for chain in (("cp1252", "koi8-r"), ("cp1252", "latin-1", "cp1252"), ("mac_greek", "cp737", "cp1257")):
+        g = "é—ж"
+        for p in chain:
+            g = mojibake.misread(g, p)
+        assert any(f in mojibake.run_forms("é—ж") for f in mojibake.before_readings(g)), chain
+    assert mojibake.before_readings("é") == {} and set(mojibake.before_readings("Ã©")) >= {"Ã©", "é"}
+    f = mojibake.word_forms("café")
+    assert "caf├⌐" not in f and ("cp1252", "cp437") in [mojibake.PAIRS[i] for i in f["cafΘ"]]
+
+
+def test_all_chains_and_rare_originals(spark):
+    """Every page twice and some three times over, originals in one clean document, and what is quoted but not garbled."""
+    g = random.Random(3)
+    clean = "Die Böen drehten über Gräser — nach Süden"
+    chains = [(a, b) for a in mojibake.PAGES for b in mojibake.PAGES] + [tuple(g.choice(mojibake.PAGES) for _ in range(3)) for _ in range(60)]
+    rows = [(0, clean)]
+    for i, chain in enumerate(chains):
+        t = clean
+        for p in chain:
+            t = mojibake.misread(t, p)
+        rows.append((i + 1, t))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["restored"], r["left"]) for r in mojibake.restored(df).collect()}
+    assert set(got) == {i for i in range(1, len(rows))} and set(got.values()) == {(clean, 0)}
+
+    swap = "Žižka šířil požár přes příkré úbočí"
+    two = spark.createDataFrame([(1, swap), (2, swap + " dál"), (3, swap.encode("cp1250").decode("cp1252")), (4, "the sign � is quoted"), (5, "a � b"), (6, "Süd und Nord"), (7, "S�d und Nord"), (8, "z�zz")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["restored"], r["left"]) for r in mojibake.restored(two).collect()}
+    assert got == {3: (swap, 0), 7: ("Süd und Nord", 0), 8: ("z�zz", 1)}
+
+
+def test_an_original_that_is_garbled_is_no_original(spark):
+    once = mojibake.misread("Süden", "cp1252")
+    twice = mojibake.misread(once, "cp852")
+    df = spark.createDataFrame([(1, "nach Süden"), (2, f"nach {once}"), (3, f"nach {twice}"), (4, f"{mojibake.misread('Bøjle', 'cp1252')} {twice}")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["restored"], r["left"]) for r in mojibake.restored(df).collect()}
+    assert got[2] == got[3] == ("nach Süden", 0) and got[4][1] == 0
+    alone = spark.createDataFrame([(2, f"nach {once}"), (3, f"nach {twice}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["left"] for r in mojibake.restored(alone).collect()}.get(3, 0) in (0, 1)
 
 
 # --- overlap ---
@@ -221,10 +259,63 @@ def test_overlaps_without_area(spark):
     assert {(r["uid_a"], r["uid_b"]) for r in overlap.overlaps(df, turned).collect()} == {("a", "b"), ("d", "e"), ("g", "i")}
 
 
+def test_every_similar_pair_is_found(spark):
+    """Names of 3 to 40 letters, swapped, dropped, doubled, replaced or cut, at one place with one size: the join finds what the rule accepts, on either side, with and without area."""
+    g = random.Random(11)
+    word = lambda n: "".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    def changed(w):
+        for _ in range(g.choice([1, 1, 2, 2, 3])):
+            i = g.randrange(len(w))
+            how = g.choice("swap drop double replace cut".split())
+            if how == "swap" and i + 1 < len(w):
+                w = w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+            elif how == "drop" and len(w) > 2:
+                w = w[:i] + w[i + 1 :]
+            elif how == "double":
+                w = w[:i] + w[i] + w[i:]
+            elif how == "replace":
+                w = w[:i] + g.choice("abcxyz") + w[i + 1 :]
+            elif how == "cut":
+                w = w[: max(3, len(w) - g.randint(1, 8))]
+        return w
+
+    rows, parts = [], []
+    for k in range(1800):
+        w = word(3 + k % 38)
+        at = (-120.0 + 0.5 * (k % 60), 30.0 + 0.5 * (k // 60))
+        areas = g.choice([(80.0, 80.0), (80.0, 80.0), (None, 80.0), (80.0, None), (None, None)])
+        for side, name, area in (("a", w, areas[0]), ("b", changed(w), areas[1])):
+            rows.append((f"{side}{k}", *at, day(7, 1), None, None, "s", name, area))
+            parts.append((0, "train" if (side == "a") == (k % 2 == 0) else "test", f"{side}{k}"))
+    u, m = spark.createDataFrame(rows, UNITS), spark.createDataFrame(parts, "fold int, split_name string, uid string")
+    from pyspark.sql import functions as F
+
+    r = overlap._records(u, "uid")
+    s = lambda p: r.where(F.col("uid").startswith(p)).select(F.substring("uid", 2, 9).alias("k"), F.struct(*r.columns).alias(p))
+    want = {int(x["k"]) for x in s("a").join(s("b"), "k").where(overlap.same_fire()).collect()}
+    got = {int(x["uid_a"][1:]) for x in overlap.overlaps(u, m).collect()}
+    assert got == want and len(want) > 1200
+
+
+def test_hot_name_and_place(spark):
+    # A third of the records share name and place (a default), with other sizes: they are told apart before any pair is made.
+    u = [(f"h{i}", -100.0, 40.0, day(7, 1), None, None, "s", "Unnamed", 20.0 * 1.07**i) for i in range(160)] + [("x", -100.0, 40.0, day(7, 2, 2021), None, None, "s", "Unnmaed", 20.0 * 1.07**50)]
+    m = spark.createDataFrame([(0, "train" if i % 2 else "test", f"h{i}") for i in range(160)] + [(0, "train", "x")], "fold int, split_name string, uid string")
+    assert {(r["uid_a"], r["uid_b"]) for r in overlap.overlaps(spark.createDataFrame(u, UNITS), m).collect()} == {("h50", "x")}
+
+
+def test_rows_of_one_key_that_differ(spark):
+    u = [("a", -100.0, 40.0, day(7, 1), None, None, "s", None, 9.0), ("a", -100.0, 40.0, day(7, 1), None, None, "s", "Salt Spring", 9.0), ("b", -100.0, 40.0, day(7, 1), None, None, "s", "Salt Spring", 9.0)]
+    m = spark.createDataFrame([(0, "train", "a"), (0, "test", "b")], "fold int, split_name string, uid string")
+    for rows in (u, u[::-1]):
+        assert [r["chain"] for r in overlap.overlap_pairs(spark.createDataFrame(rows, UNITS), m).collect()] == [11]
+
+
 def test_selected_share_a_hash(spark):
     from pyspark.sql import functions as F
 
-    names = [("xxwillowgulch", "zzzwillowgulchq"), ("ab", "ab"), ("abcde", "xabcdey")]
+    names = [("xxwillowgulch", "zzzwillowgulchq"), ("ab", "ab"), ("abcde", "xabcdey"), ("abcd", "acbd")]
     d = spark.createDataFrame(names, "a string, b string").select(overlap.selected(F.col("a")).alias("a"), overlap.selected(F.col("b")).alias("b"))
     for r in d.collect():
         assert {x["h"] for x in r["a"]} & {x["h"] for x in r["b"]}
