@@ -11,8 +11,8 @@ chains, two units:
   hardly any run can have them (its bytes must be UTF-8 again), so that all 20 x 20 x 20 chains cost the table of one.
 * One code page read as another. The map goes both ways, so the unit is the word, and one of two spellings is the right one: that in at
   least `ratio` times as many documents (for words of one character, which say less, `alone` times), or, however rare it is, that to which
-  `together` or more words of one document go back by the same two pages, if these originals are together in more documents than the
-  words.
+  `together` or more words of one document go back by the same two pages, if none of them is commoner than its original, and together
+  they are rarer.
 * Characters already lost (U+FFFD): a word that is a word of the corpus with its characters beyond ASCII lost, or in which the sign stands
   at a letter, is wrong; the original is the only word with the same rest, if there is one.
 
@@ -140,7 +140,20 @@ def _back_rows(w: str, n: int):
 
 
 def _word_rows(w: str, n: int):
-    yield from ((f, w, n, pairs) for f, pairs in word_forms(w).items() if not f.isspace())
+    yield from ((f, w, n) for f in word_forms(w) if not f.isspace())
+
+
+def _pages_between(hit: DataFrame) -> DataFrame:
+    """(form, original, n_original, n_form, pair): the pairs of pages that make a form of its original."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield b.assign(pair=pd.Series([word_forms(o).get(f, []) for f, o in zip(b["form"].values, b["original"].values)], index=b.index, dtype=object))
+
+    d = hit.select("form", "original", "n_original", "n_form").mapInPandas(run, "form string, original string, n_original long, n_form long, pair array<int>")
+    return d.withColumn("pair", F.explode("pair"))
 
 
 def words_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -165,14 +178,15 @@ def _bad_runs(runs: DataFrame, n_tasks: int, ratio: float) -> DataFrame:
 def _bad_words(units: DataFrame, each: DataFrame, key: str, by_run: DataFrame, n_tasks: int, ratio: float, alone: float, together: int) -> DataFrame:
     """(word, original): words that are another word of the corpus in another page."""
     clean = units.where(~F.contains("word", F.lit(LOST))).join(by_run.select("word"), "word", "left_anti").select(F.col("word").alias("unit"), "n")
-    table = _mapped(clean.repartition(n_tasks, "unit"), _word_rows, "form string, original string, n_original long, pairs array<int>")
-    seen = clean.select(F.col("unit").alias("form"), F.col("n").alias("n_form"))
-    hit = cut(table.join(seen, "form"))
+    clean = cut(clean.repartition(n_tasks, "unit"))
+    table = _mapped(clean, _word_rows, "form string, original string, n_original long")
+    hit = cut(table.join(checked(clean.select(F.col("unit").alias("form"), F.col("n").alias("n_form")), 96), "form"))
     often = F.when(F.char_length("form") > 1, ratio).otherwise(alone) * F.col("n_form")
     sure = hit.where((F.col("n_original") >= 2) & (F.col("n_original") >= often)).select("form", "original", "n_original")
-    # By documents: words that go back by one pair of pages, and whose originals are together in more documents than they are.
-    one = cut(hit.where((F.col("n_original") < often) & (F.char_length("form") > 1)).select("form", "original", "n_original", "n_form", F.explode("pairs").alias("pair")))
-    doc = each.select(key, F.explode("words").alias("form")).join(checked(one, 256), "form")
+    # By documents: words that go back by one pair of pages, none of them commoner than its original and together rarer.
+    rare = (F.col("n_original") < F.greatest(often, F.lit(2))) & (F.col("n_original") >= F.col("n_form")) & (F.char_length("form") > 1)
+    one = cut(_pages_between(hit.where(rare)))
+    doc = each.select(key, F.explode("words").alias("form")).join(checked(one, 160), "form")
     words = F.collect_set(F.struct("form", "original", "n_original"))  # at most the distinct words of one document
     doc = doc.groupBy(key, "pair").agg(F.count_distinct("form").alias("_n"), F.sum("n_original").alias("_o"), F.sum("n_form").alias("_f"), words.alias("w"))
     linked = doc.where((F.col("_n") >= together) & (F.col("_o") > F.col("_f"))).select(F.explode("w").alias("w")).select("w.*").distinct()
