@@ -84,6 +84,12 @@ def tolerance_m(sensor: Column, landcover: Column | None = None, view_zenith_deg
     return F.greatest(flat, F.coalesce(lookup(landcover, LANDCOVER_BUFFER_M), F.lit(DEFAULT_BUFFER_M)))
 
 
+def serving_tolerance_m(sensor_family: Column, view_zenith_deg: Column) -> Column:
+    """Matching radius of a served detection: by its view angle over terrain of 1,000 m where that is known, else the sensor family's; at least 1,000 m."""
+    flat = F.coalesce(lookup(sensor_family, SENSOR_TOLERANCE_M), F.lit(DEFAULT_TOLERANCE_M))
+    return at_least(F.when(view_zenith_deg.isNotNull(), geo_leo_tolerance_m(view_zenith_deg, 1000.0)).otherwise(flat), 1000.0)
+
+
 def parallax_offset_m(fire_height_m: Number, satellite_lon: Number, lon: Number, lat: Number) -> Column:
     """Shift of a target at some height as seen from a geostationary satellite."""
     q = 6378137.0 / 42164000.0

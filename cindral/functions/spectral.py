@@ -62,3 +62,9 @@ def scene_clear(scene_class: Number, keep: tuple[int, ...] = CLEAR_CLASSES) -> C
 
 def rbr_from_windows(nir_pre: Number, swir_pre: Number, nir_post: Number, swir_post: Number) -> Column:
     return rbr(nbr(nir_pre, swir_pre), nbr(nir_post, swir_post))
+
+
+def post_fire_nbr(nir: Number, swir: Number) -> Column:
+    """Burn ratio of one post-fire scene; null where the bands nearly cancel."""
+    total = col(nir) + col(swir)
+    return F.when(F.abs(total) > 1e-6, (col(nir) - col(swir)) / total)

@@ -21,31 +21,47 @@ def _around(c: Column) -> Column:
     return F.explode(F.sequence(c - 1, c + 1))
 
 
-def links(det: DataFrame, key: str = "det_id", tolerance: str = "tolerance_m", max_gap_s: float = 12 * 3600.0, extra_m: float = 0.0) -> DataFrame:
-    """(a, b), a < b: detections at most the larger of their tolerances (plus extra_m) and max_gap_s apart.
+def _near(d: DataFrame, gap: int) -> DataFrame:
+    """(a, b): pairs of nodes that hold rows at most the larger of their tolerances and gap microseconds apart.
 
-    det: key, x, y, t, tolerance. Tolerances differ by sensor and view angle; each row is put into a class of tolerance (by powers of 2),
-    and pairs of classes are joined on cells of the larger one's size, so a few wide tolerances do not coarsen the grid of all.
+    d: k, x, y, lo, hi, tol. A node is what was seen at one place within one bucket of time of width gap, from lo to hi. Tolerances differ by
+    sensor and view angle; each node is put into a class of tolerance (by powers of 2), and pairs of classes are joined on cells of the
+    larger one's size, so a few wide tolerances do not coarsen the grid of all.
     """
-    gap = int(max_gap_s * 1e6)
-    d = det.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("t").isNotNull()).select(F.col(key).alias("k"), "x", "y", F.unix_micros("t").alias("u"), (F.col(tolerance) + extra_m).alias("tol"))
     d = d.withColumn("cls", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("tol"), F.lit(1.0))))).cast("int"))
     classes = d.groupBy("cls").count().select("cls")  # one row for each power of 2
     right = d.select(*(F.col(c).alias(f"{c}2") for c in d.columns))
     # The row of the wider class (ties: any) sets the cell size: 2**cls; the narrower row is put into the cells of every wider class.
     # Pairs of one class meet in one of two opposite steps, so half the steps do where no narrower class exists; 0 is the row's own cell.
     steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    step = lambda few: F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"), F.lit((s > (0, 0, 0)) - (s < (0, 0, 0))).alias("way")) for s in few for i, j, k in [s]))
+    way = lambda s: F.lit((s > (0, 0, 0)) - (s < (0, 0, 0)))
+    step = lambda few: F.array(*(F.struct(F.lit(s[0]).alias("i"), F.lit(s[1]).alias("j"), F.lit(s[2]).alias("k"), way(s).alias("way")) for s in few))
     left = d.join(F.broadcast(classes.agg(F.min("cls").alias("least"))), F.lit(True)).withColumn("size", F.pow(F.lit(2.0), "cls"))
     left = left.withColumn("s", F.explode(F.when(F.col("cls") > F.col("least"), step(steps)).otherwise(step([s for s in steps if s >= (0, 0, 0)]))))
-    left = left.select("k", "x", "y", "u", "tol", "cls", F.col("s.way").alias("way"), *((F.floor(F.col(c) / w) + F.col(f"s.{i}")).alias(n) for n, c, w, i in (("cx", "x", F.col("size"), "i"), ("cy", "y", F.col("size"), "j"), ("ct", "u", F.lit(gap), "k"))))
-    wider = F.broadcast(classes.withColumnRenamed("cls", "cls_w"))
+    cells = ((F.floor(F.col(c) / w) + F.col(f"s.{i}")).alias(n) for n, c, w, i in (("cx", "x", F.col("size"), "i"), ("cy", "y", F.col("size"), "j"), ("ct", "lo", F.lit(gap), "k")))
+    left = left.select("k", "x", "y", "lo", "hi", "tol", "cls", F.col("s.way").alias("way"), *cells)
+    wider = F.broadcast(classes.withColumnRenamed("cls", "cls_w"))  # powers of 2
     right = right.join(wider, F.col("cls2") <= F.col("cls_w")).withColumn("size2", F.pow(F.lit(2.0), "cls_w"))
-    right = right.select("k2", "x2", "y2", "u2", "tol2", "cls2", F.col("cls_w").alias("cls"), F.floor(F.col("x2") / F.col("size2")).alias("cx"), F.floor(F.col("y2") / F.col("size2")).alias("cy"), F.floor(F.col("u2") / gap).alias("ct"))
+    right = right.select("k2", "x2", "y2", "lo2", "hi2", "tol2", "cls2", F.col("cls_w").alias("cls"), F.floor(F.col("x2") / F.col("size2")).alias("cx"), F.floor(F.col("y2") / F.col("size2")).alias("cy"), F.floor(F.col("lo2") / gap).alias("ct"))
     p = left.join(right, ["cls", "cx", "cy", "ct"]).where((F.col("cls2") < F.col("cls")) | (F.col("way") > 0) | ((F.col("way") == 0) & (F.col("k") < F.col("k2"))))
     far = F.greatest("tol", "tol2")
-    p = p.where((F.abs(F.col("u") - F.col("u2")) <= gap) & ((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) <= far * far))
-    return p.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
+    # Rows of one bucket are within gap of each other; of neighbouring buckets the last of one and the first of the other are nearest.
+    same = F.floor(F.col("lo") / gap) == F.floor(F.col("lo2") / gap)
+    in_time = same | (F.greatest("lo", "lo2") - F.least("hi", "hi2") <= gap)
+    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+    return p.where(in_time & (dx * dx + dy * dy <= far * far)).select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
+
+
+def _timed(det: DataFrame, key: str, tolerance: str, extra_m: float) -> DataFrame:
+    placed = det.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("t").isNotNull())
+    return placed.withColumns({"_k": F.col(key), "_u": F.unix_micros("t"), "_tol": (F.col(tolerance) + extra_m).cast("double")})
+
+
+def links(det: DataFrame, key: str = "det_id", tolerance: str = "tolerance_m", max_gap_s: float = 12 * 3600.0, extra_m: float = 0.0) -> DataFrame:
+    """(a, b), a < b: all pairs of detections at most the larger of their tolerances (plus extra_m) and max_gap_s apart. det: key, x, y, t,
+    tolerance. For groups use `clustered`, which needs no pairs within a place."""
+    d = _timed(det, key, tolerance, extra_m)
+    return _near(d.select(F.col("_k").alias("k"), "x", "y", F.col("_u").alias("lo"), F.col("_u").alias("hi"), F.col("_tol").alias("tol")), int(max_gap_s * 1e6))
 
 
 def _smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,16 +80,26 @@ def _smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, names[low]
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) of each partition replaced by (smallest of the group, member): fewer edges with the same groups."""
+def _contracted(edges: DataFrame, most: int = 500_000) -> DataFrame:
+    """Edges (a, b) replaced by (smallest of the group, member) within parts of a partition of about `most` edges (any parts of the edges
+    may be joined by themselves): fewer edges with the same groups, in bounded memory."""
 
     def run(batches):
         import pandas as pd
 
-        parts = [(x["a"].to_numpy(), x["b"].to_numpy()) for x in batches]
-        if parts:
+        def done(parts):
             v, low = _smallest(*(np.concatenate(c) for c in zip(*parts)))
-            yield pd.DataFrame({"a": low, "b": v})[low != v]
+            return pd.DataFrame({"a": low, "b": v})[low != v]
+
+        parts, n = [], 0
+        for x in batches:
+            parts.append((x["a"].to_numpy(), x["b"].to_numpy()))
+            n += len(x)
+            if n >= most:
+                yield done(parts)
+                parts, n = [], 0
+        if parts:
+            yield done(parts)
 
     return edges.mapInPandas(run, edges.schema)
 
@@ -89,7 +115,7 @@ def groups(vertices: DataFrame, pairs: DataFrame, key: str, rounds: int = 60, lo
     e = cut(_contracted(e).distinct())
     n = e.count()
     if 0 < n <= local_edges:
-        e = _contracted(e.repartition(1))
+        e = _contracted(e.repartition(1), local_edges)
         n = 0
     state = None
     for _ in range(rounds):
@@ -112,13 +138,26 @@ def groups(vertices: DataFrame, pairs: DataFrame, key: str, rounds: int = 60, lo
 
 
 def clustered(det: DataFrame, key: str = "det_id", tolerance: str = "tolerance_m", max_gap_s: float = 12 * 3600.0, extra_m: float = 0.0, within: list[str] | None = None, local_edges: int = 1_000_000) -> DataFrame:
-    """det with `root`, the smallest key of its fire event. within: columns across which nothing is linked (tiles, coarse cells)."""
-    det = cut(det)  # read by both sides of the link join and again for the result
-    pairs = links(det, key, tolerance, max_gap_s, extra_m)
+    """det with `root`, the smallest key of its fire event. within: columns across which nothing is linked (tiles, coarse cells).
+
+    Rows at one place in one bucket of time (of width max_gap_s) are within reach of each other, so they are one node with its first and last
+    time, named by its smallest key; only nodes are paired. A fixed pixel that burns for hours is a few nodes, however many readings.
+    """
+    within, gap = within or [], int(max_gap_s * 1e6)
+    det = cut(det)
+    d = _timed(det, key, tolerance, extra_m).withColumn("_bucket", F.floor(F.col("_u") / gap))
+    d = d.withColumn("_own", F.when(F.col("_tol").isNull(), F.col("_k")))  # without tolerance nothing is linked
+    node = ["x", "y", "_tol", "_bucket", "_own", *within]
+    nodes = cut(d.groupBy(*node).agg(F.min("_k").alias("k"), F.min("_u").alias("lo"), F.max("_u").alias("hi")))
+    pairs = _near(nodes.select("k", "x", "y", "lo", "hi", F.col("_tol").alias("tol")), gap)
     if within:
-        side = det.select(F.col(key).alias("k"), F.struct(*within).alias("w"))
+        side = nodes.select("k", F.struct(*within).alias("w"))
         pairs = pairs.join(side.withColumnsRenamed({"k": "a", "w": "wa"}), "a").join(side.withColumnsRenamed({"k": "b", "w": "wb"}), "b").where(F.col("wa").eqNullSafe(F.col("wb"))).select("a", "b")
-    return det.join(groups(det, pairs, key, local_edges=local_edges), key)
+    roots = nodes.join(groups(nodes, pairs, "k", local_edges=local_edges), "k").select(*(F.col(c).alias(f"n_{c}") for c in node), "root")
+    same = [F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in node]
+    out = d.join(roots, same).select(*(F.col(c) for c in det.columns), "root")
+    alone = det.where(F.col("x").isNull() | F.col("y").isNull() | F.col("t").isNull())
+    return out.unionByName(alone.withColumn("root", F.col(key)))
 
 
 def thinned(det: DataFrame, degrees: float = 0.02, minutes: int = 60, key: str = "det_id") -> DataFrame:

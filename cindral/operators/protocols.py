@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cindral.operators.scores import confusion, ratios
+from cindral.session import checked, cut
 
 
 def cuts_by(df: DataFrame, by: list[str], value: str, truth: str, steps: int = 200) -> DataFrame:
@@ -16,7 +17,7 @@ def cuts_by(df: DataFrame, by: list[str], value: str, truth: str, steps: int = 2
     v, y = F.col(value).cast("double"), F.coalesce(F.col(truth).cast("double") > 0, F.lit(False)).cast("long")
     d = df.where(v.isNotNull()).select(*by, v.alias("v"), y.alias("y"))
     r = d.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("y").alias("pos"))
-    d = d.join(F.broadcast(r), by)
+    d = d.join(checked(cut(r)), by)
     k = F.coalesce(F.ceil(F.try_divide((F.col("v") - F.col("lo")) * (steps - 1), F.col("hi") - F.col("lo"))), F.lit(0)).cast("int")
     h = d.groupBy(*by, "lo", "hi", "pos", k.alias("k")).agg(F.count("*").alias("n"), F.sum("y").alias("p"))
     h = h.groupBy(*by, "lo", "hi", "pos").agg(F.collect_list(F.struct("k", "n", "p")).alias("h"))  # at most steps + 1 entries
@@ -33,9 +34,9 @@ def fold_skill(df: DataFrame, folds: DataFrame, value: str, truth: str, uid: str
     d = df.join(m, uid)
     by = ["fold", *([strata] if strata else [])]
     t = cuts_by(d.where("split_name = 'train'"), by, value, truth).select(*by, "threshold")
-    test = d.where("split_name = 'test'").join(F.broadcast(t), by, "left")
+    test = d.where("split_name = 'test'").join(checked(cut(t)), by, "left")
     if strata:  # a stratum that did not train takes the fold's own threshold
-        test = test.join(F.broadcast(cuts_by(d.where("split_name = 'train'"), ["fold"], value, truth).select("fold", F.col("threshold").alias("_all"))), "fold").withColumn("threshold", F.coalesce("threshold", "_all"))
+        test = test.join(checked(cut(cuts_by(d.where("split_name = 'train'"), ["fold"], value, truth).select("fold", F.col("threshold").alias("_all")))), "fold").withColumn("threshold", F.coalesce("threshold", "_all"))
     test = test.withColumn("_pred", (F.col(value) > F.col("threshold")).cast("int")).withColumn("_one", F.lit(1))
     got = ratios(confusion(test, truth, "_pred", ["fold"])).select("fold", "tp", "fp", "fn", "tn", "f1", "iou")
     naive = ratios(confusion(test, truth, "_one", ["fold"])).select("fold", F.col("f1").alias("naive_f1"))
@@ -81,8 +82,8 @@ def first_frames(det: DataFrame, pixels: DataFrame, frames: DataFrame, cell_deg:
     same = first.withColumn("h", F.floor(F.col("u") / hour)).join(f.withColumn("h", F.floor(F.col("fu") / hour)), "h").where("fu >= u").groupBy("pixel_id").agg(F.min(F.struct("fu", "frame_idx")).alias("s"))
     rest = first.join(same.select("pixel_id"), "pixel_id", "left_anti").withColumn("h", F.floor(F.col("u") / hour))
     starts = f.groupBy(F.floor(F.col("fu") / hour).alias("h")).agg(F.min(F.struct("fu", "frame_idx")).alias("s"))
-    # One row for each hour asked for or present: bounded by the length of the archive in hours.
+    # One row for each hour asked for or present: as many as the archive has hours.
     line = rest.select("h").distinct().join(starts, "h", "full").select("h", "s")
     nxt = line.withColumn("n", F.first("s", ignorenulls=True).over(W.orderBy("h").rowsBetween(1, W.unboundedFollowing))).select("h", F.col("n").alias("s"))
-    after = rest.join(F.broadcast(nxt), "h").where("s IS NOT NULL").select("pixel_id", "s")
+    after = rest.join(checked(cut(nxt)), "h").where("s IS NOT NULL").select("pixel_id", "s")
     return same.unionByName(after).select("pixel_id", F.col("s.frame_idx").alias("frame_idx"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cindral.operators.quantiles import exact_quantiles
 from cindral.session import spread
 
 
@@ -61,9 +62,11 @@ def climatology(df: DataFrame, keys: list[str], value: str, t: str = "t", n_bins
 
 
 def merged_climatology(states: DataFrame, keys: list[str]) -> DataFrame:
-    """One state of several rows of states: the parallel rule, from sums."""
-    s = states.groupBy(*keys, "bin").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.sum("m2").alias("_w"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_q"))
-    return s.select(*keys, "bin", "n", "mean", (F.col("_w") + F.greatest(F.col("_q") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0))).alias("m2"))
+    """One state of several rows of states: the parts' spread about their common mean is added, as differences, so that nothing cancels."""
+    w = W.partitionBy(*keys, "bin")  # the same distribution as the aggregation, so one shuffle
+    s = states.where("n > 0").withColumn("_mean", F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w))
+    off = F.col("mean") - F.col("_mean")
+    return s.groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * off * off).alias("m2"))
 
 
 def climatology_readout(states: DataFrame, ddof: int = 1) -> DataFrame:
@@ -75,8 +78,7 @@ def climatology_readout(states: DataFrame, ddof: int = 1) -> DataFrame:
 def diurnal_amplitude(states: DataFrame, keys: list[str], least_bins: int = 8) -> DataFrame:
     """One row: number of series with enough bins, median, lower quartile and 90th percentile of (largest - smallest bin mean)."""
     per = states.where("n > 0").groupBy(*keys).agg((F.max("mean") - F.min("mean")).alias("a"), F.count("*").alias("b")).where(F.col("b") >= least_bins)
-    q = F.percentile("a", [0.25, 0.5, 0.9])
-    return per.agg(F.count("*").alias("n_series"), q.alias("q")).select("n_series", F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("p90"))
+    return exact_quantiles(per, "a", [0.25, 0.5, 0.9]).select(F.col("n").alias("n_series"), F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("p90"))
 
 
 def hourly_residuals(df: DataFrame, keys: list[str], value: str, clear: str | None = None, t: str = "t") -> DataFrame:
@@ -118,10 +120,10 @@ def harmonic_fit(df: DataFrame, keys: list[str], value: str, t: str = "t", order
 
 def far_threshold(pool: DataFrame, value: str, far: float, by: list[str] | None = None, least: int = 100) -> DataFrame:
     """Percentile 100 (1 - far) of fire-free values: by group where it has `least` values, else the pool's."""
-    all_ = pool.agg(F.percentile(value, 1.0 - far).alias("_all"))
+    all_ = exact_quantiles(pool, value, [1.0 - far]).select(F.get("q", F.lit(0)).alias("_all"))
     if not by:
         return all_.withColumnRenamed("_all", "threshold")
-    g = pool.groupBy(*by).agg(F.count(value).alias("_n"), F.percentile(value, 1.0 - far).alias("_own"))
+    g = exact_quantiles(pool, value, [1.0 - far], by).select(*by, F.col("n").alias("_n"), F.get("q", F.lit(0)).alias("_own"))
     return g.crossJoin(F.broadcast(all_)).select(*by, F.when(F.col("_n") >= least, F.col("_own")).otherwise(F.col("_all")).alias("threshold"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cindral.functions.fireweather import risk_class, spread_risk_score
+
 # Region windows (west, south, east, north), metres to a degree of longitude (at the equator) and latitude.
 REGIONS = {"california": (-124.6, 32.0, -114.0, 42.3), "us_west": (-125.0, 31.0, -102.0, 49.2), "conus": (-125.0, 24.0, -66.5, 49.0), "canada": (-141.0, 49.0, -52.0, 83.5), "europe": (-25.0, 34.0, 45.0, 72.0)}
 M_LON, M_LAT = 111_320.0, 110_540.0
@@ -64,7 +66,8 @@ def hull(det: DataFrame, keys: list[str], lon: str = "lon", lat: str = "lat") ->
             for c in b["c"]:
                 low = half([(r["x"], r["lo"]) for r in c] if len(c) > 1 else [])
                 top = half([(r["x"], r["hi"]) for r in reversed(list(c))] if len(c) > 1 else [])
-                ring = [p for i, p in enumerate(low + top) if i == 0 or p != (low + top)[i - 1]]
+                both = low + top
+                ring = [p for i, p in enumerate(both) if i == 0 or p != both[i - 1]]
                 ring = ring + [ring[0]] if ring and ring[0] != ring[-1] else ring
                 rings.append([list(p) for p in ring] if len(ring) >= 4 else None)
             yield pd.DataFrame({**{k: b[k] for k in keys}, "ring": rings})
@@ -116,3 +119,46 @@ def unioned(*frames: DataFrame) -> DataFrame:
         f = f.withColumn("confidence", F.col("confidence").cast("string")) if mixed and "confidence" in f.columns else f
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def state_mode(newest: Column, now: Column, frozen: bool = False, stale_hours: float = 24.0) -> Column:
+    """What a served state is: `sample` if it was frozen, `stale` if its newest detection is older than stale_hours, else `live` (also without any)."""
+    if frozen:
+        return F.lit("sample")
+    age = (F.unix_micros(now) - F.unix_micros(newest)) / 3.6e9
+    return F.when(age > stale_hours, "stale").otherwise("live")
+
+
+def with_weather(events: DataFrame, weather: DataFrame, key: str = "event_id") -> DataFrame:
+    """events with temp_c, rh_pct, wind_ms and the risk of spread (score and class); events without a reading have nulls. weather: key, temp_c, rh_pct, wind_ms, one row an event."""
+    w = weather.select(key, *(F.col(c).cast("double").alias(c) for c in ("temp_c", "rh_pct", "wind_ms")), F.lit(True).alias("_got"))
+    score = spread_risk_score("temp_c", "rh_pct", "wind_ms")
+    d = events.join(w, key, "left").withColumn("risk_score", F.when(F.col("_got"), score))
+    return d.withColumn("risk_class", F.when(F.col("_got"), risk_class("risk_score"))).drop("_got")
+
+
+def snapshot(frames: list[DataFrame], path: str, weather: DataFrame | None = None, least_detections: int = 1, max_gap_s: float = 12 * 3600.0, extra_m: float = 2000.0) -> DataFrame | None:
+    """Publishes a state: path/detections (all sensors in one table) and path/events (records as JSON lines); the event records, or None with
+    nothing written if there are fewer than least_detections.
+
+    frames: detections with det_id, t, x, y, lon, lat, frp_mw, sensor, tolerance_m. Detections are clustered across sensors at once.
+    """
+    from cindral.operators.linking import clustered
+    from cindral.session import cut
+
+    d = cut(unioned(*frames))
+    if d.limit(least_detections).count() < least_detections:
+        return None
+    e = event_records(clustered(d, max_gap_s=max_gap_s, extra_m=extra_m))
+    e = cut(with_weather(e, weather) if weather is not None else e)
+    d.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/detections")
+    e.write.mode("overwrite").json(f"{path}/events")
+    return e
+
+
+def published(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(detections, events) of a snapshot; the events' times are timestamps again. Reading runs no code from the files."""
+    e = spark.read.json(f"{path}/events")
+    for c in ("first_seen", "last_seen"):
+        e = e.withColumn(c, F.col(c).cast("timestamp")) if c in e.columns else e
+    return spark.read.parquet(f"{path}/detections"), e

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cindral.functions.grids import block_key
+from cindral.operators.ordered import running_sums
+from cindral.session import checked, cut
+
+
+MOST_FOLDS = 100_000  # rows of a broadcast
 
 
 def random_split(*_args, **_kwargs):
@@ -44,7 +49,9 @@ def leave_one_group_out(units: DataFrame, by: str, key: str = "uid", max_folds:
     names = u.select("g").distinct().withColumn("fold", (F.row_number().over(W.orderBy("g")) - 1).cast("int"))
     names = names.where(F.col("fold") < max_folds) if max_folds is not None else names
     f = names.withColumnRenamed("g", "held_out")
-    # Each unit is in each fold by definition of the scheme: the result has units x folds rows.
+    # Each unit is in each fold by definition of the scheme: the result has units x folds rows. Folds are model fits, so they are few.
+    if f.limit(MOST_FOLDS + 1).count() > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} folds: give max_folds")
     return u.crossJoin(F.broadcast(f)).select("fold", "held_out", F.when(F.col("g") == F.col("held_out"), "test").otherwise("train").alias("split_name"), "uid")
 
 
@@ -71,6 +78,11 @@ def overlap(manifest: DataFrame, keys: tuple[str, ...] = ("fold",), uid: str = "
     return manifest.groupBy(*keys, uid).agg(F.sort_array(F.collect_set(part)).alias("parts")).where(F.size("parts") > 1)
 
 
+def sizes(manifest: DataFrame, by: tuple[str, ...] = ("fold", "held_out", "split_name"), uid: str = "uid") -> DataFrame:
+    """(by, n): units of each part."""
+    return manifest.groupBy(*by).agg(F.count_distinct(uid).alias("n"))
+
+
 def verify_no_overlap(manifest: DataFrame) -> None:
     bad = overlap(manifest).limit(1).collect()
     if bad:
@@ -100,7 +112,7 @@ def _u01(*cols) -> Column:
 def stratified_negatives(presence: DataFrame, candidates: DataFrame, stratum: str = "stratum", id: str = "id", ratio: float = 1.0, seed: int = 0) -> DataFrame:
     """Of each stratum about ratio times as many candidates as presences, without presences, by hash order."""
     want = presence.groupBy(stratum).agg(F.bround(F.count("*") * ratio).cast("long").alias("_want"))
-    pool = candidates.join(presence.select(id), id, "left_anti").join(F.broadcast(want), stratum)
+    pool = candidates.join(presence.select(id), id, "left_anti").join(checked(cut(want)), stratum)
     w = W.partitionBy(stratum).orderBy(F.xxhash64(id, F.lit(seed)), id)
     return pool.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= F.col("_want")).drop("_i", "_want")
 
@@ -145,7 +157,8 @@ def evenly_spaced(df: DataFrame, n: int, by: str, key: str, mode: str = "largest
         return df.orderBy(F.desc_nulls_last(by), key).limit(n)
     m = df.where(F.col(by).isNotNull()).count()
     ranks = sorted({round(i * (m - 1) / max(n - 1, 1)) for i in range(min(n, m))}) or [-1]
-    return df.where(F.col(by).isNotNull()).withColumn("_i", F.row_number().over(W.orderBy(by, key)) - 1).where(F.col("_i").isin(ranks)).drop("_i")
+    d = running_sums(df.where(F.col(by).isNotNull()), [F.col(by), F.col(key)], {"_i": F.lit(1)})
+    return d.where((F.col("_i") - 1).isin(ranks)).drop("_i")
 
 
 def tile_crops(cells: DataFrame, keys: list[str], size: int, least_valid: float = 0.5, row: str = "row", column: str = "col", valid: str = "valid", burned: str = "burned") -> DataFrame:

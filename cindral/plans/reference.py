@@ -42,6 +42,11 @@ def r6(c: Column, name: str, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits).alias(name)
 
 
+def r32(c: Column, name: str) -> Column:
+    """To single precision: unlike decimal places this never puts an exact binary value between two."""
+    return c.cast("float").cast("double").alias(name)
+
+
 # --- physics ---
 
 PL = "119104295.3 / (pow({w}, 5) * (exp(14387.769 / ({w} * {t})) - 1))"
@@ -73,17 +78,6 @@ def ref_frp(spark, sf):
     return d.select("det_id", r6(radiative.air_mass_factor("view_zenith_deg"), "air_mass"), r6(F.col("tau"), "tau"), r6(radiative.frp_atmospheric_correction_factor(20.0, "view_zenith_deg", 0.1), "factor"), r6(F.col("frp"), "frp", 3), r6(radiative.frp_uncertainty("frp", "f", "b", 0.01 * F.col("f"), 0.02 * F.col("b")), "sigma", 3), r6(radiative.fuel_consumed_kg("frp"), "fuel", 3), radiative.saturation_mask("temp_k", 400.0).alias("saturated"), radiative.wooster_validity("temp_k").alias("valid"))
 
 
-@query("ref_retrieval")
-def ref_retrieval(spark, sf):
-    """Two-band retrieval on radiances made from the detections' own temperature and area."""
-    d = det(spark, sf, "temp_k", "area_m2", "true_pixel_area_m2").where("temp_k BETWEEN 650 AND 1350 AND area_m2 > 0 AND true_pixel_area_m2 > 0")
-    p = F.least(F.lit(0.2), F.col("area_m2").cast("double") / F.col("true_pixel_area_m2"))
-    d = d.select("det_id", p.alias("p"), F.col("temp_k").cast("double").alias("tf"))
-    mix = lambda lam: radiative.mixed_pixel_radiance(lam, F.col("p"), F.col("tf"), 300.0)
-    got = d.withColumn("r", radiative.retrieve(mix(3.9), mix(11.0), 300.0))
-    return got.select("det_id", r6(F.col("r.fire_fraction"), "fire_fraction", 5), r6(F.col("r.t_fire_k"), "t_fire_k", 2), F.col("r.converged").alias("converged"), radiative.is_trustworthy(F.col("r"), 300.0).alias("trustworthy"))
-
-
 @query("ref_footprint", f"""WITH {sql_det('view_zenith_deg')}, q AS (SELECT det_id, view_zenith_deg::DOUBLE AS v, least(greatest(view_zenith_deg::DOUBLE, 0.0), 80.0) AS z FROM d WHERE view_zenith_deg BETWEEN -90 AND 90),
 g AS (SELECT *, CASE WHEN z > 0 THEN pow((6371.0 + 833.0) * sin(radians(z) - asin(6371.0 * sin(radians(z)) / (6371.0 + 833.0))) / (833.0 * sin(radians(z))), 2) ELSE 1 END / cos(radians(z)) AS leo,
    CASE WHEN z > 0 THEN pow((6371.0 + 35786.0) * sin(radians(z) - asin(6371.0 * sin(radians(z)) / (6371.0 + 35786.0))) / (35786.0 * sin(radians(z))), 2) ELSE 1 END / cos(radians(z)) AS geo FROM q)
@@ -107,7 +101,7 @@ def ref_solar(spark, sf):
     return d.select("det_id", r6(zen, "zenith", 5), r6(geometry.local_solar_time_hours("lon", "h"), "solar_hour"), r6(geometry.day_of_year_encoding("doy")[0], "doy_sin"))
 
 
-@query("ref_fixed_grid", f"""WITH {sql_det('lon', 'lat')}, q AS (SELECT det_id, radians(lat) AS p, radians(lon + 75.0) AS dl FROM d WHERE lon BETWEEN -140 AND -60 AND lat IS NOT NULL),
+@query("ref_fixed_grid", f"""WITH {sql_det('lon', 'lat')}, q AS (SELECT det_id, radians(lat) AS p, radians(lon + 75.0) AS dl FROM d WHERE lon IS NOT NULL AND lat IS NOT NULL),
 c AS (SELECT *, atan(pow(6356752.31414 / 6378137.0, 2) * tan(p)) AS pc FROM q), r AS (SELECT *, 6356752.31414 / sqrt(1 - (1 - pow(6356752.31414 / 6378137.0, 2)) * pow(cos(pc), 2)) AS rc, 42164160.0 AS h FROM c),
 s AS (SELECT *, h - rc * cos(pc) * cos(dl) AS sx, -rc * cos(pc) * sin(dl) AS sy, rc * sin(pc) AS sz, cos(p) * cos(dl) AS cp FROM r)
 SELECT det_id, round(asin(-sy / sqrt(sx * sx + sy * sy + sz * sz)), 8) AS x, round(atan(sz / sx), 8) AS y, round(degrees(asin(least(1.0, sin(acos(cp)) / sqrt(1 + pow(6378137.0 / h, 2) - 2 * 6378137.0 / h * cp)))), 6) AS vza FROM s
@@ -202,7 +196,8 @@ def ref_parse_tiles(spark, sf):
     return read(spark, sf, "detections", "tile_id").where("tile_id <> ''").distinct().select("tile_id", r.alias("region"), x.alias("ix"), y.alias("iy"))
 
 
-def _albers_sql() -> str:
+def _albers_xy() -> tuple[str, str]:
+    """The projection of (lon, lat) as SQL."""
     e = math.sqrt(GRS80_E2)
     q = lambda s: (1 - e * e) * (s / (1 - e * e * s * s) - 1 / (2 * e) * math.log((1 - e * s) / (1 + e * s)))
     s0, s1, s2 = (math.sin(math.radians(v)) for v in (23.0, 29.5, 45.5))
@@ -212,7 +207,12 @@ def _albers_sql() -> str:
     r0 = GRS80_A * math.sqrt(c - n * q(s0)) / n
     ql = f"(1 - {e * e!r}) * (sin(radians(lat)) / (1 - {e * e!r} * pow(sin(radians(lat)), 2)) - 1 / (2 * {e!r}) * ln((1 - {e!r} * sin(radians(lat))) / (1 + {e!r} * sin(radians(lat)))))"
     rho, a = f"({GRS80_A} * sqrt({c!r} - {n!r} * ({ql})) / {n!r})", f"({n!r} * radians(lon + 96 - 360 * floor((lon + 276) / 360.0)))"
-    return f"WITH {sql_det('lon', 'lat')} SELECT det_id, round({rho} * sin({a}), 2) AS px, round({r0!r} - {rho} * cos({a}), 2) AS py FROM d WHERE lon IS NOT NULL AND lat IS NOT NULL"
+    return f"({rho} * sin({a}))", f"({r0!r} - {rho} * cos({a}))"
+
+
+def _albers_sql() -> str:
+    x, y = _albers_xy()
+    return f"WITH {sql_det('lon', 'lat')} SELECT det_id, round({x}, 2) AS px, round({y}, 2) AS py FROM d WHERE lon IS NOT NULL AND lat IS NOT NULL"
 
 
 @query("ref_project", _albers_sql())
@@ -255,15 +255,19 @@ def ref_firms(spark, sf):
     return firm(spark, sf).select("firms_id", "lon", "lat", ntz("t").alias("t"), "bt_mir_k", "frp_mw", "daynight", codes.confidence_pct("confidence", False).alias("pct"))
 
 
-@query("ref_firms_latest", f"WITH {_FIRMS}, m AS (SELECT instrument, max(t) AS n FROM f GROUP BY 1) SELECT instrument, count(*) AS n, min(f.t) AS first_t, max(f.t) AS last_t FROM f JOIN m USING (instrument) WHERE f.t >= m.n - INTERVAL 24 HOUR GROUP BY 1")
+@query("ref_firms_latest", f"""WITH {_FIRMS}, k AS (SELECT *, {_albers_xy()[0]} AS x, {_albers_xy()[1]} AS y FROM f WHERE t IS NOT NULL), m AS (SELECT instrument, max(t) AS n FROM k GROUP BY 1)
+SELECT instrument, count(*) AS n, min(k.t) AS first_t, max(k.t) AS last_t FROM k JOIN m USING (instrument) WHERE k.t >= m.n - INTERVAL 24 HOUR AND floor((x + 2400000) / 96000) BETWEEN 0 AND 48 AND floor((y - 192000) / 96000) BETWEEN 0 AND 31 GROUP BY 1""")
 def ref_firms_latest(spark, sf):
-    f = firm(spark, sf)
-    new = F.broadcast(f.groupBy("instrument").agg(F.max("t").alias("_n")))
-    d = f.join(new, "instrument").where(F.unix_micros("t") >= F.unix_micros("_n") - int(86_400e6))
+    d = firms.freshest(read(spark, sf, "firms").dropDuplicates(["firms_id"]))
     return d.groupBy("instrument").agg(F.count("*").alias("n"), ntz(F.min("t")).alias("first_t"), ntz(F.max("t")).alias("last_t"))
 
 
-@query("ref_platforms")
+def _values(rows) -> str:
+    text = lambda v: "NULL" if v is None else "'" + v + "'" if isinstance(v, str) else str(v)
+    return "VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+
+
+@query("ref_platforms", f"WITH p(platform, name, sensor, status, a, b, bias) AS ({_values([(k, *v) for k, v in codes.PLATFORMS.items()])}), s(sensor, kind) AS ({_values([(k, v[0]) for k, v in codes.SENSORS.items()])}) SELECT platform, name, sensor, kind, status FROM p JOIN s USING (sensor) WHERE coalesce(a, '2000-01-01') <= '2026-06-01' AND (b IS NULL OR b > '2026-06-01') AND status NOT IN ('planned', 'retired')")
 def ref_platforms(spark, sf):
     import datetime as dt
 
@@ -285,15 +289,6 @@ def ref_strongest(spark, sf):
     return serving.strongest(det(spark, sf, "frp_mw")).select("det_id", r6(F.col("frp_mw"), "frp", 4))
 
 
-@query("ref_tile_top", f"WITH {sql_det('tile_id', 'frp_mw')}, r AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY frp_mw DESC NULLS LAST, det_id) AS i FROM d WHERE tile_id IS NOT NULL) SELECT det_id, tile_id, i::INT AS place FROM r WHERE i <= 20")
-def ref_tile_top(spark, sf):
-    from pyspark.sql.window import Window as W
-
-    d = det(spark, sf, "tile_id", "frp_mw").where("tile_id IS NOT NULL")
-    w = W.partitionBy("tile_id").orderBy(F.desc_nulls_last("frp_mw"), "det_id")
-    return d.withColumn("place", F.row_number().over(w)).where("place <= 20").select("det_id", "tile_id", "place")
-
-
 @query("ref_union", f"WITH {sql_det('t', 'lon', 'lat', 'frp_mw', 'confidence')}, {_FIRMS}, u AS (SELECT 'goes' AS sensor, lon, lat, frp_mw::DOUBLE AS frp_mw, t FROM d UNION ALL SELECT lower(coalesce(instrument, 'viirs')), lon, lat, frp_mw, t FROM f WHERE t IS NOT NULL) SELECT sensor, count(*) AS n, count(frp_mw) AS with_frp, round(max(frp_mw), 3) AS peak FROM u GROUP BY 1")
 def ref_union(spark, sf):
     g = det(spark, sf, "t", "lon", "lat", "frp_mw", "confidence").withColumn("sensor", F.lit("goes"))
@@ -338,19 +333,19 @@ def _temps(spark, sf):
 _TEMPS = f"{sql_det('pixel_id', 't', 'temp_k')}, q AS (SELECT det_id, pixel_id, t, temp_k::DOUBLE AS v, {_BIN} AS bin FROM d WHERE temp_k BETWEEN 150 AND 2000 AND t IS NOT NULL)"
 
 
-@query("ref_climatology", f"WITH {_TEMPS} SELECT pixel_id, bin, count(*) AS n, round(avg(v), 6) AS mean, round(var_pop(v) * count(*) + 1e-6, 4) AS m2, round(var_samp(v) + 1e-6, 4) AS variance FROM q GROUP BY 1, 2")
+@query("ref_climatology", f"WITH {_TEMPS} SELECT pixel_id, bin, count(*) AS n, round(avg(v), 6) AS mean, (var_pop(v) * count(*))::REAL::DOUBLE AS m2, var_samp(v)::REAL::DOUBLE AS variance FROM q GROUP BY 1, 2")
 def ref_climatology(spark, sf):
     c = series.climatology_readout(series.climatology(_temps(spark, sf), ["pixel_id"], "temp_k"))
-    return c.select("pixel_id", "bin", "n", r6(F.col("mean"), "mean"), r6(F.col("m2") + 1e-6, "m2", 4), r6(F.col("variance") + 1e-6, "variance", 4))
+    return c.select("pixel_id", "bin", "n", r6(F.col("mean"), "mean"), r32(F.col("m2"), "m2"), r32(F.col("variance"), "variance"))
 
 
-@query("ref_climatology_merge", f"WITH {_TEMPS} SELECT pixel_id, bin, count(*) AS n, round(avg(v), 6) AS mean, round(var_pop(v) * count(*) + 1e-5, 3) AS m2 FROM q GROUP BY 1, 2")
+@query("ref_climatology_merge", f"WITH {_TEMPS} SELECT pixel_id, bin, count(*) AS n, round(avg(v), 6) AS mean, (var_pop(v) * count(*))::REAL::DOUBLE AS m2 FROM q GROUP BY 1, 2")
 def ref_climatology_merge(spark, sf):
     """The state of two halves, merged: equal to the state of all."""
     t = _temps(spark, sf)
     half = lambda r: series.climatology(t.where(F.col("det_id") % 2 == r), ["pixel_id"], "temp_k")
     m = series.merged_climatology(half(0).unionByName(half(1)), ["pixel_id"])
-    return m.select("pixel_id", "bin", "n", r6(F.col("mean"), "mean"), r6(F.col("m2") + 1e-5, "m2", 3))
+    return m.select("pixel_id", "bin", "n", r6(F.col("mean"), "mean"), r32(F.col("m2"), "m2"))
 
 
 @query("ref_amplitude", f"WITH {_TEMPS}, m AS (SELECT pixel_id, bin, avg(v) AS m FROM q GROUP BY 1, 2), a AS (SELECT max(m) - min(m) AS a FROM m GROUP BY pixel_id HAVING count(*) >= 8) SELECT count(*) AS n_series, round(quantile_cont(a, 0.25), 6) AS p25, round(quantile_cont(a, 0.5), 6) AS median, round(quantile_cont(a, 0.9), 6) AS p90 FROM a")
@@ -428,14 +423,20 @@ lk AS (SELECT a.det_id AS a, b.det_id AS b FROM nn a JOIN e b ON b.cx = a.cx + a
 cc(det_id, root) USING KEY (det_id) AS (SELECT det_id, det_id FROM e UNION SELECT n.det_id, n.g FROM (SELECT l.a AS det_id, min(c.root) AS g FROM cc c JOIN lk l ON l.b = c.det_id GROUP BY l.a) n JOIN recurring.cc r ON r.det_id = n.det_id WHERE n.g < r.root)"""
 
 
-@query("ref_events", f"WITH RECURSIVE {_EVENTS} SELECT det_id, root FROM cc")
+_ALL_EVENTS = _EVENTS.replace("FROM th WHERE i = 1", "FROM th")
+
+
+@query("ref_events", f"WITH RECURSIVE {_ALL_EVENTS} SELECT det_id, root FROM cc")
 def ref_events(spark, sf):
     return events(spark, sf).select("det_id", "root")
 
 
-@query("ref_event_features", f"""WITH RECURSIVE {_EVENTS}, g AS (SELECT root, t, x, y, frp_mw::DOUBLE AS f, view_zenith_deg::DOUBLE AS v, confidence::DOUBLE AS c, epoch_us(t) / 3.6e9 AS h, CASE WHEN frp_mw IS NOT NULL THEN epoch_us(t) / 3.6e9 END AS hf FROM cc JOIN e USING (det_id))
+_FEATURES = """WITH RECURSIVE {events}, g AS (SELECT root, t, x, y, frp_mw::DOUBLE AS f, view_zenith_deg::DOUBLE AS v, confidence::DOUBLE AS c, epoch_us(t) / 3.6e9 AS h, CASE WHEN frp_mw IS NOT NULL THEN epoch_us(t) / 3.6e9 END AS hf FROM cc JOIN e USING (det_id))
 SELECT root, count(*) AS n_detections, round(max(h) - min(h), 4) AS duration_h, round(max(f), 4) AS peak_frp_mw, round(sum(f) + 1e-5, 3) AS total_frp_mw, round(CASE WHEN count(f) >= 3 AND max(hf) - min(hf) >= 0.5 THEN regr_slope(f, hf - 415000) + 1e-5 END, 2) AS growth,
-  round(avg(v) + 1e-7, 5) AS mean_view_zenith_deg, round(avg(c) + 1e-7, 5) AS mean_confidence, round(sqrt(var_pop(x) + var_pop(y)) + 1e-4, 1) AS spread, round(avg(x) + 1e-4, 2) AS centroid_x, round(avg(y) + 1e-4, 2) AS centroid_y FROM g GROUP BY 1""")
+  round(avg(v) + 1e-7, 5) AS mean_view_zenith_deg, round(avg(c) + 1e-7, 5) AS mean_confidence, round(sqrt(var_pop(x) + var_pop(y)) + 1e-4, 1) AS spread, round(avg(x) + 1e-4, 2) AS centroid_x, round(avg(y) + 1e-4, 2) AS centroid_y FROM g GROUP BY 1"""
+
+
+@query("ref_event_features", _FEATURES.replace("{events}", _ALL_EVENTS))
 def ref_event_features(spark, sf):
     return _features(events(spark, sf))
 
@@ -445,13 +446,13 @@ def _features(e):
     return f.select("root", "n_detections", r6(F.col("duration_h"), "duration_h", 4), r6(F.col("peak_frp_mw"), "peak_frp_mw", 4), r6(F.col("total_frp_mw") + 1e-5, "total_frp_mw", 3), r6(F.col("frp_growth_mw_per_h") + 1e-5, "growth", 2), r6(F.col("mean_view_zenith_deg") + 1e-7, "mean_view_zenith_deg", 5), r6(F.col("mean_confidence") + 1e-7, "mean_confidence", 5), r6(F.col("spatial_spread_m") + 1e-4, "spread", 1), r6(F.col("centroid_x") + 1e-4, "centroid_x", 2), r6(F.col("centroid_y") + 1e-4, "centroid_y", 2))
 
 
-@query("ref_events_thinned", SQL["ref_events"])
+@query("ref_events_thinned", f"WITH RECURSIVE {_EVENTS} SELECT det_id, root FROM cc")
 def ref_events_thinned(spark, sf):
     """Events of the first detection of each 0.02-degree cell and hour, as the reference's evaluation thins them."""
     return _thinned_events(spark, sf).select("det_id", "root")
 
 
-@query("ref_event_features_thinned", SQL["ref_event_features"])
+@query("ref_event_features_thinned", _FEATURES.replace("{events}", _EVENTS))
 def ref_event_features_thinned(spark, sf):
     return _features(_thinned_events(spark, sf))
 
@@ -479,7 +480,13 @@ def ref_event_matches(spark, sf):
 _CO = f"""{sql_det('t', 'x', 'y')}, {_FIRMS}"""
 
 
-@query("ref_coincidence")
+@query("ref_coincidence", f"""WITH {_CO}, v AS (SELECT firms_id, {_albers_xy()[0]} AS x, {_albers_xy()[1]} AS y, epoch_us(t) AS u FROM f WHERE t IS NOT NULL), g AS (SELECT det_id, x, y, epoch_us(t) AS u FROM d WHERE x IS NOT NULL AND y IS NOT NULL AND t IS NOT NULL),
+box AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM d), i AS (SELECT v.* FROM v, box WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1), st(dx, dy) AS (SELECT a, b FROM range(-1, 2) p(a), range(-1, 2) q(b)), sz(s) AS (VALUES (2000.0), (4000.0), (50000.0)),
+gb AS (SELECT DISTINCT s, floor(x / s) AS cx, floor(y / s) AS cy, u FROM g, sz), vb AS (SELECT DISTINCT s, floor(x / s) AS cx, floor(y / s) AS cy, u FROM v, sz),
+h AS (SELECT a.s, firms_id, min(abs(a.u - gb.u)) / 6e7 AS gap FROM (SELECT s, firms_id, u, floor(x / s) + dx AS cx, floor(y / s) + dy AS cy FROM i, sz, st WHERE s < 50000) a JOIN gb ON gb.s = a.s AND gb.cx = a.cx AND gb.cy = a.cy WHERE abs(a.u - gb.u) <= 1800000000 GROUP BY 1, 2),
+w AS (SELECT DISTINCT a.s, det_id FROM (SELECT s, det_id, u, floor(x / s) + dx AS cx, floor(y / s) + dy AS cy FROM g, sz, st) a JOIN vb ON vb.s = a.s AND vb.cx = a.cx AND vb.cy = a.cy WHERE abs(a.u - vb.u) <= 1800000000),
+e AS (SELECT f.s, count(*) AS n, count(k.det_id) AS tp FROM (SELECT s, det_id FROM (SELECT det_id FROM w WHERE s = 50000), sz WHERE sz.s < 50000) f LEFT JOIN w k ON k.s = f.s AND k.det_id = f.det_id GROUP BY 1)
+SELECT e.s::DOUBLE AS cell_m, (SELECT count(*) FROM i) AS n_viirs, (SELECT count(*) FROM h WHERE h.s = e.s) AS tp, round((SELECT quantile_cont(gap, 0.5) FROM h WHERE h.s = e.s), 6) AS median_gap_min, round((SELECT count(*) FROM h WHERE h.s = e.s) / (SELECT count(*) FROM i), 6) AS pod, n AS n_evaluable, tp AS tp_goes, n - tp AS fp, round(tp / n, 6) AS precision, round((n - tp) / n, 6) AS far FROM e""")
 def ref_coincidence(spark, sf):
     """Share of polar detections that the geostationary source saw within a cell and half an hour, at two cell sizes."""
     g, v = cut(det(spark, sf, "t", "x", "y")), cut(_firms_xy(spark, sf))
@@ -602,7 +609,7 @@ def ref_prior_correction(spark, sf):
     return _labelled(spark, sf).select("det_id", r6(scores.rare_event_correction(F.col("p"), 0.02, 0.25), "p", 8))
 
 
-@query("ref_temperature")
+@query("ref_temperature", f"WITH {_LAB}, t AS (SELECT exp(ln(0.2) + (ln(5.0) - ln(0.2)) * i / 48) AS t FROM range(49) r(i)), b AS (SELECT t, avg(pow(1 / (1 + exp(-ln(c / (1 - c)) / t)) - y, 2)) AS b FROM (SELECT y, greatest(1e-7, least(1 - 1e-7, p)) AS c FROM q), t GROUP BY 1) SELECT round(t, 6) AS temperature, round(b, 8) AS brier FROM b ORDER BY b, t LIMIT 1")
 def ref_temperature(spark, sf):
     return scores.fit_temperature(_labelled(spark, sf), "y", "p").select(r6(F.col("temperature"), "temperature"), r6(F.col("brier"), "brier", 8))
 
@@ -693,10 +700,10 @@ def ref_buffered(spark, sf):
     return raster.buffered(_counts(spark, sf), "value", 2.5, 50, 120).select("row", "col", r6(F.col("dist"), "dist", 8), r6(F.col("prob"), "prob", 8))
 
 
-@query("ref_f1_tolerance")
+@query("ref_f1_tolerance", f"WITH {_CELLS}, t AS (SELECT row, col FROM c WHERE value >= 3), p AS (SELECT row, col FROM c WHERE value < 3), n AS (SELECT (SELECT count(*) FROM p WHERE EXISTS (SELECT 1 FROM t WHERE abs(t.row - p.row) <= 1 AND abs(t.col - p.col) <= 1)) / (SELECT count(*) FROM p) AS pr, (SELECT count(*) FROM t WHERE EXISTS (SELECT 1 FROM p WHERE abs(t.row - p.row) <= 1 AND abs(t.col - p.col) <= 1)) / (SELECT count(*) FROM t) AS rc) SELECT pr AS precision, rc AS recall, round(2 * pr * rc / (pr + rc), 12) AS f1 FROM n")
 def ref_f1_tolerance(spark, sf):
     c = cut(_counts(spark, sf))
-    return raster.f1_with_tolerance(c.where("value >= 3"), c.where("value < 3"), 1, 50, 120)
+    return raster.f1_with_tolerance(c.where("value >= 3"), c.where("value < 3"), 1, 50, 120).select("precision", "recall", r6(F.col("f1"), "f1", 12))
 
 
 @query("ref_arrival")
@@ -769,7 +776,7 @@ def ref_split_overlap(spark, sf):
 
 @query("ref_split_summary", "SELECT fold, held_out, split_name, count(DISTINCT uid) AS n FROM leave_year_out GROUP BY 1, 2, 3")
 def ref_split_summary(spark, sf):
-    return read(spark, sf, "leave_year_out").groupBy("fold", "held_out", "split_name").agg(F.count_distinct("uid").alias("n"))
+    return splits.sizes(read(spark, sf, "leave_year_out", "fold", "held_out", "split_name", "uid"))
 
 
 @query("ref_blocks", "SELECT uid, (floor(lon / 5) * 100000 + floor(lat / 5))::BIGINT AS block FROM (SELECT DISTINCT uid, lon, lat FROM example_units)")
@@ -777,11 +784,6 @@ def ref_blocks(spark, sf):
     return units(spark, sf).select("uid", block_key("lon", "lat").alias("block"))
 
 
-@query("ref_registry", "SELECT continent, label_source, count(*) AS n, round(sum(area_ha), 3) AS area_ha, min(when_date) AS first_day FROM (SELECT DISTINCT * FROM example_units) GROUP BY 1, 2")
-def ref_registry(spark, sf):
-    return units(spark, sf).groupBy("continent", "label_source").agg(F.count("*").alias("n"), r6(F.sum("area_ha"), "area_ha", 3), F.min("when_date").alias("first_day"))
-
-
 @query("ref_reporting_weight", "WITH u AS (SELECT DISTINCT uid, lon, lat, label_source AS s FROM example_units), p AS (SELECT floor(lon / 0.25) AS x, floor(lat / 0.25) AS y, count(*) AS n FROM u WHERE s = 'fpa_fod' GROUP BY 1, 2), w AS (SELECT uid, coalesce(n, 0) + 0.001 AS w FROM u LEFT JOIN p ON p.x = floor(lon / 0.25) AND p.y = floor(lat / 0.25)) SELECT uid, round(w / sum(w) OVER (), 10) AS weight FROM w")
 def ref_reporting_weight(spark, sf):
     u = units(spark, sf)
@@ -800,7 +802,7 @@ def ref_background(spark, sf):
     return splits.weighted_background(u.where("label_source = 'mtbs'"), u.where("label_source <> 'mtbs'"), 100, "area_ha").select("id")
 
 
-@query("ref_candidate_grid")
+@query("ref_candidate_grid", "SELECT 'cell_' || i AS id, -124.875 + (i % 100) * 0.25 AS lon, 30.125 + (i // 100) % 80 * 0.25 AS lat, (2019 + i // 8000)::INT AS year, (floor((-124.875 + (i % 100) * 0.25) / 5) * 100000 + floor((30.125 + (i // 100) % 80 * 0.25) / 5))::BIGINT AS stratum FROM range(16000) r(i)")
 def ref_candidate_grid(spark, sf):
     return splits.candidate_grid(spark, -125.0, 30.0, -100.0, 50.0, [2019, 2020])
 
@@ -810,7 +812,7 @@ def ref_leakage(spark, sf):
     """Boosted trees judged in spatial blocks: whether a unit is large, from physics-free attributes."""
     u = units(spark, sf).where("area_ha IS NOT NULL AND when_date IS NOT NULL").select("uid", "lon", "lat", (F.col("area_ha") > 300).cast("double").alias("label"), F.dayofyear("when_date").cast("double").alias("season"), F.year("when_date").cast("double").alias("age"), (F.length("ecoregion") + F.ascii(F.substring("ecoregion", 5, 1))).cast("double").alias("eco"))
     u = cut(u)
-    p = models.out_of_fold(u, splits.spatial_blocks(u, 2, 10.0), ["season", "age", "eco"], rounds=5, depth=3)
+    p = models.out_of_fold(u, splits.spatial_blocks(u), ["season", "age", "eco"])
     return models.scorecard(p).select(r6(F.col("average_precision"), "average_precision", 4), r6(F.col("brier"), "brier", 4), r6(F.col("log_loss"), "log_loss", 4), r6(F.col("base_rate"), "base_rate", 6))
 
 
@@ -820,12 +822,17 @@ def ref_burned_area(spark, sf):
     return q.select("ecoregion", "n", r6(F.get("q", F.lit(1)), "median_ha", 4))
 
 
-@query("ref_plans")
+@query("ref_plans", f"WITH p(name, n_tiles, years, cadence, bands, mb, s, per_band, storage) AS ({_values([tuple(str(v) if isinstance(v, bool) else v for v in r) for r in planning.STANDARD])}), k AS (SELECT *, 1440 / cadence * years * 365.25 AS steps FROM p), r AS (SELECT *, steps * CASE WHEN per_band = 'True' THEN bands ELSE 1 END AS reads, n_tiles * bands * 2304.0 * steps AS samples FROM k) SELECT name, n_tiles::INT AS n_tiles, round(CASE storage WHEN 'sparse' THEN samples * 2.5e-05 * 56 ELSE samples * 2 / 4 END / 1e9, 4) AS disk_gb, round(reads * mb / 1e6, 6) AS download_tb, round_even(reads, 0)::BIGINT AS granule_reads, round(reads * s / 12 / 3600, 4) AS hours FROM r")
 def ref_plans(spark, sf):
     return planning.costed(planning.standard_plans(spark)).select("name", "n_tiles", r6(F.col("disk_gb"), "disk_gb", 4), r6(F.col("download_tb"), "download_tb", 6), "granule_reads", r6(F.col("wall_clock_hours"), "hours", 4))
 
 
-@query("ref_fold_skill")
+@query("ref_fold_skill", """WITH u AS (SELECT DISTINCT uid, area_ha::DOUBLE AS v, continent AS c, coalesce(length(fire_name) > 11, false)::INT AS y, year(when_date) AS yr FROM example_units), ys AS (SELECT y, row_number() OVER (ORDER BY y) AS k FROM (SELECT DISTINCT yr AS y FROM u WHERE yr IS NOT NULL)), f AS (SELECT k - 2 AS fold, k FROM ys WHERE k >= 2),
+m AS (SELECT fold::INT AS fold, CASE WHEN ys.k = f.k THEN 'test' WHEN ys.k = f.k - 1 THEN 'val' ELSE 'train' END AS part, u.* FROM f, u JOIN ys ON ys.y = u.yr WHERE v IS NOT NULL), g AS (SELECT fold, c AS g, v, y FROM m WHERE part = 'train' UNION ALL SELECT fold, '*', v, y FROM m WHERE part = 'train'),
+l AS (SELECT fold, g, min(v) AS lo, max(v) AS hi, sum(y) AS pos FROM g GROUP BY 1, 2), s AS (SELECT l.fold, l.g, i, lo + i * (hi - lo) / 199 AS t, 2.0 * sum(y) FILTER (v > lo + i * (hi - lo) / 199) / nullif(count(*) FILTER (v > lo + i * (hi - lo) / 199) + any_value(pos), 0) AS f1 FROM l JOIN g ON g.fold = l.fold AND g.g = l.g, range(200) r(i) GROUP BY 1, 2, 3, 4),
+b AS (SELECT fold, g, t FROM (SELECT *, row_number() OVER (PARTITION BY fold, g ORDER BY coalesce(f1, 0) DESC, i) AS k FROM s WHERE f1 IS NOT NULL OR NOT EXISTS (SELECT 1)) WHERE k = 1), x AS (SELECT m.fold, y, (v > coalesce(b.t, a.t))::INT AS p FROM m LEFT JOIN b ON b.fold = m.fold AND b.g = m.c JOIN b a ON a.fold = m.fold AND a.g = '*' WHERE part = 'test'),
+n AS (SELECT fold, count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn, count(*) FILTER (y = 0 AND p = 0) AS tn FROM x GROUP BY 1)
+SELECT fold, tp, fp, fn, tn, round(2 * tp / nullif(2 * tp + fp + fn, 0), 8) AS f1, round(2 * (tp + fn) / nullif(2 * (tp + fn) + fp + tn, 0), 8) AS naive_f1, round(2 * tp / nullif(2 * tp + fp + fn, 0) - 2 * (tp + fn) / nullif(2 * (tp + fn) + fp + tn, 0), 8) AS skill FROM n""")
 def ref_fold_skill(spark, sf):
     """Skill of an area threshold tuned on each fold's training years, per continent."""
     u = units(spark, sf).where("area_ha IS NOT NULL").withColumn("y", (F.length("fire_name") > 11).cast("int"))
@@ -840,9 +847,9 @@ def ref_group_thresholds(spark, sf):
     return protocols.cuts_by(d, ["g"], "v", "y").select("g", r6(F.col("threshold"), "threshold", 5), r6(F.col("f1"), "f1", 8))
 
 
-@query("ref_first_frames", f"""WITH {sql_det('t', 'lon', 'lat', 'pixel_id')}, p AS (SELECT pixel_id, round(avg(lon), 4) AS plon, round(avg(lat), 4) AS plat FROM d WHERE lon BETWEEN -170 AND -60 GROUP BY 1), f AS (SELECT i AS frame_idx, TIMESTAMP '2017-07-01 00:00:00' + to_minutes(i * 45) AS ft FROM range(600) r(i)),
-n AS (SELECT p.pixel_id, min(d.t) AS t FROM p JOIN d ON d.lat BETWEEN plat - 0.05 AND plat + 0.05 AND d.t IS NOT NULL AND sqrt(pow((plat - d.lat) * 111.0, 2) + pow((plon - d.lon) * 111.0 * cos(radians(d.lat)), 2)) <= 3.0 GROUP BY 1)
-SELECT pixel_id, min(frame_idx)::INT AS frame_idx FROM n JOIN f ON ft >= t GROUP BY 1""")
+@query("ref_first_frames", f"""WITH {sql_det('t', 'lon', 'lat', 'pixel_id')}, p AS (SELECT pixel_id, round(CASE WHEN max(lon) - min(lon) > 180 THEN CASE WHEN avg(CASE WHEN lon < 0 THEN lon + 360 ELSE lon END) > 180 THEN avg(CASE WHEN lon < 0 THEN lon + 360 ELSE lon END) - 360 ELSE avg(CASE WHEN lon < 0 THEN lon + 360 ELSE lon END) END ELSE avg(lon) END, 4) AS plon, round(avg(lat), 4) AS plat FROM d WHERE lon IS NOT NULL AND lat IS NOT NULL GROUP BY 1),
+n AS (SELECT p.pixel_id, min(d.t) AS t FROM p JOIN d ON d.lat BETWEEN plat - 0.05 AND plat + 0.05 AND d.t IS NOT NULL AND sqrt(pow((plat - d.lat) * 111.0, 2) + pow(least(abs(plon - d.lon), 360 - abs(plon - d.lon)) * 111.0 * cos(radians(d.lat)), 2)) <= 3.0 GROUP BY 1), z AS (SELECT date_trunc('day', min(t)) AS z FROM d)
+SELECT pixel_id, ceil((epoch_us(t) - epoch_us(z)) / 2.7e9)::INT AS frame_idx FROM n, z""")
 def ref_first_frames(spark, sf):
     d = det(spark, sf, "t", "lon", "lat", "pixel_id")
     # The mean place of a pixel on both sides of longitude 180 is taken east of it.

@@ -257,3 +257,80 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     """Last row of each key."""
     w = W.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+class ClimatologyStore:
+    """A climatology that grows: root/states (keys, bin, n, mean, m2; one file set a version) and root/done (keys of processed granules).
+
+    A batch is added once: granules already in a version are left out, and each version holds its states and its granules together, so a
+    batch that is run again after a failure finds what was complete and nothing else. The last `versions` stay.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], value: str, versions: int = 2):
+        self.spark, self.root, self.keys, self.value, self.versions = spark, str(root), keys, value, versions
+
+    def _complete(self) -> list[str]:
+        fs, p = _fs(self.spark, self.root)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if _exists(self.spark, f"{s.getPath()}/done/_SUCCESS")) if fs.exists(p) else []
+
+    def _read(self, part: str) -> DataFrame | None:
+        names = self._complete()
+        return self.spark.read.parquet(f"{self.root}/{names[-1]}/{part}") if names else None
+
+    def states(self) -> DataFrame | None:
+        return self._read("states")
+
+    def done(self) -> DataFrame | None:
+        return self._read("done")
+
+    def add(self, rows: DataFrame, granule: str = "granule_key", t: str = "t") -> int:
+        """Adds the rows of granules that are not in yet; the number of such granules."""
+        from cindral.operators.series import climatology, merged_climatology
+
+        old, done = self.states(), self.done()
+        rows = rows.where(F.col(granule).isNotNull())
+        rows = cut(rows if done is None else rows.join(done, granule, "left_anti"))
+        new = cut(rows.select(granule).distinct())
+        n = new.count()
+        if not n:
+            return 0
+        states = climatology(rows, self.keys, self.value, t)
+        states = states if old is None else merged_climatology(old.unionByName(states), self.keys)
+        names = self._complete()
+        path = f"{self.root}/v{(int(names[-1][1:]) if names else 0) + 1:09d}"
+        states.write.mode("overwrite").parquet(f"{path}/states")
+        (new if done is None else done.unionByName(new)).write.mode("overwrite").parquet(f"{path}/done")  # last, as the mark of a complete version
+        for name in self._complete()[: -self.versions]:
+            fs, p = _fs(self.spark, f"{self.root}/{name}")
+            fs.delete(p, True)
+        return n
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, columns: dict[str, str], rows: int = 100_000) -> DataFrame:
+    """A table of a SQLite file that every machine can read: columns (name -> Spark type), read by ranges of its row numbers in parallel."""
+    import sqlite3
+
+    quote = lambda n: '"' + n.replace('"', '""') + '"'
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
+        last = c.execute(f"SELECT coalesce(max(rowid), 0) FROM {quote(table)}").fetchone()[0]
+    sql = f"SELECT {', '.join(quote(c) for c in columns)} FROM {quote(table)} WHERE rowid > ? AND rowid <= ?"
+    schema = ", ".join(f"`{c}` {t}" for c, t in columns.items())
+
+    def run(batches):
+        import sqlite3
+
+        import pandas as pd
+
+        for b in batches:
+            for k in b["id"]:
+                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
+                    got = c.execute(sql, (int(k) * rows, (int(k) + 1) * rows)).fetchall()
+                yield pd.DataFrame({n: pd.Series([r[i] for r in got], dtype=object) for i, n in enumerate(columns)})
+
+    parts = max(1, -(-last // rows))
+    return spark.range(parts).repartition(parts).mapInPandas(run, schema)
+
+
+def write_occurrences(df: DataFrame, path: str) -> None:
+    """Normalised fire occurrences as Parquet, in parts by year."""
+    df.repartition("year").sortWithinPartitions("id").write.mode("overwrite").option("compression", "zstd").partitionBy("year").parquet(path)

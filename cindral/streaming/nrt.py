@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cindral.operators.linking import clustered, event_features
-from cindral.session import checkpoint_dir
+from cindral.session import checkpoint_dir, cut
 
 
 def detections_stream(spark: SparkSession, path: str, schema: T.StructType, late: str = "24 hours", files: int | None = None) -> DataFrame:
@@ -42,30 +42,42 @@ class EventTracker:
     A batch joins the kept detections, what is older than `lookback_s` behind the newest goes, the window is clustered again, and a
     cluster takes the identity that most of its known detections had (the smallest among equals), a new cluster that of its smallest key.
     The table is written under a new version and then pointed to, so a batch that is run again after a failure starts from the version
-    before it and gives the same result.
+    before it and gives the same result. The last `versions` stay, older ones are removed once a newer one is complete. A batch costs
+    the window, not the archive.
     """
 
-    def __init__(self, spark: SparkSession, root: str, lookback_s: float = 86_400.0, max_gap_s: float = 43_200.0, extra_m: float = 2000.0, key: str = "det_id"):
+    def __init__(self, spark: SparkSession, root: str, lookback_s: float = 86_400.0, max_gap_s: float = 43_200.0, extra_m: float = 2000.0, key: str = "det_id", versions: int = 3):
         self.spark, self.root, self.key = spark, root, key
-        self.lookback_s, self.max_gap_s, self.extra_m = lookback_s, max_gap_s, extra_m
+        self.lookback_s, self.max_gap_s, self.extra_m, self.versions = lookback_s, max_gap_s, extra_m, versions
         checkpoint_dir(spark)
 
     def _path(self, batch: int) -> str:
         return f"{self.root}/v{batch:012d}"
 
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _complete(self) -> list[str]:
+        """Names of the complete versions, oldest first."""
+        path, fs = self._fs()
+        root = path(self.root)
+        return sorted(s.getPath().getName() for s in fs.listStatus(root) if fs.exists(path(s.getPath(), "_SUCCESS"))) if fs.exists(root) else []
+
     def state(self, before: int | None = None) -> DataFrame | None:
         """The newest complete version (of a batch before a number)."""
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        if not fs.exists(p):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-        names = [n for n in names if before is None or n < f"v{before:012d}"]
+        names = [n for n in self._complete() if before is None or n < f"v{before:012d}"]
         return self.spark.read.parquet(f"{self.root}/{names[-1]}") if names else None
 
+    def _tidy(self) -> None:
+        path, fs = self._fs()
+        for n in self._complete()[: -self.versions]:
+            fs.delete(path(f"{self.root}/{n}"), True)
+
     def update(self, batch: DataFrame, number: int) -> DataFrame:
         """Runs one batch; gives the events that are new or changed: event_id, features, is_update."""
         old = self.state(number)
+        batch = cut(batch)  # read by the clustering and by the report
         both = batch if old is None else old.drop("event_id").unionByName(batch.join(old.select(self.key), self.key, "left_anti"), allowMissingColumns=True)
         both = both.dropDuplicates([self.key])
         newest = F.broadcast(both.agg(F.max("t").alias("_new")))
@@ -81,6 +93,7 @@ class EventTracker:
             c = c.join(heir, "root", "left").withColumn("event_id", F.coalesce("event_id", "root"))
         c.drop("root").write.mode("overwrite").parquet(self._path(number))
         now = self.spark.read.parquet(self._path(number))
+        self._tidy()
         touched = now.join(batch.select(self.key), self.key, "left_semi").select("event_id").distinct()
         before = (old.select("event_id").distinct() if old is not None else now.select("event_id").limit(0)).withColumn("_b", F.lit(True))
         return event_features(now.join(touched, "event_id", "left_semi"), "event_id").join(before, "event_id", "left").withColumn("is_update", F.coalesce("_b", F.lit(False))).drop("_b")
