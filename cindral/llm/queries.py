@@ -32,6 +32,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(pairs.unionByName(events), "a", "b", "det_id")
 
 
+def p3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p3_found by small grid cells (2,000 edges), so that rounds over a grid of several cells run at any size."""
+    pairs = read(spark, sf_dir, "match_pairs", "det_a", "det_b", "verdict").where("verdict = 'match'").select(F.col("det_a").alias("a"), F.col("det_b").alias("b"))
+    events = event_links(read(spark, sf_dir, "event_responses", "event_id", "det_ids"))
+    return components(pairs.unionByName(events), "a", "b", "det_id", cell_edges=2_000)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of one fire in the train part and in another part of a fold: fold, split_name, uid_a, uid_b."""
     got = overlaps(read(spark, sf_dir, "example_units"), read(spark, sf_dir, "leave_year_out", "fold", "split_name", "uid"))
@@ -64,7 +71,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_grid": p3_grid, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_restored": p9_restored}
 
 SQL = {
     # Numbers are written out here, so that a change of the operator's constants shows.
@@ -121,3 +128,5 @@ p AS (SELECT f.firms_id, d.det_id, abs(epoch_us(d.t) - epoch_us(f.t)) AS gap FRO
 SELECT det_id, firms_id FROM (SELECT *, row_number() OVER (PARTITION BY firms_id ORDER BY gap, det_id) AS i FROM p) WHERE i = 1
 """,
 }
+
+SQL["p3_grid"] = SQL["p3_found"]
