@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +49,28 @@ def digitize(v: Column, edges: list[float] | tuple[float, ...]) -> Column:
     for e in edges:
         n = n + F.when(v >= float(e), 1).otherwise(0)
     return F.when(v.isNotNull(), n)
+
+
+class InColumns:
+    """What the equations that are needed both as Columns and on arrays are written in: here as Columns."""
+
+    exp, ln, sqrt, div = staticmethod(F.exp), staticmethod(F.ln), staticmethod(F.sqrt), staticmethod(F.try_divide)
+    at_least, at_most, clip = staticmethod(at_least), staticmethod(at_most), staticmethod(clip)
+
+    @staticmethod
+    def power(v, k):
+        return F.pow(v if isinstance(v, Column) else F.lit(v), k if isinstance(k, Column) else F.lit(k))
+
+    @staticmethod
+    def pick(condition, a, b):
+        return F.when(condition, a).otherwise(b)
+
+
+class InArrays:
+    """The same on NumPy arrays; what is not picked may be any number."""
+
+    exp, ln, sqrt, at_least, at_most, clip, power, pick = (staticmethod(f) for f in (np.exp, np.log, np.sqrt, np.maximum, np.minimum, np.clip, np.power, np.where))
+
+    @staticmethod
+    def div(a, b):
+        return np.divide(a, np.where(b == 0, np.nan, b))

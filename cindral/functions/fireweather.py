@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cindral.functions._num import Number, at_least, at_most, clip, col, digitize
+from cindral.functions._num import InColumns, Number, at_least, clip, col, digitize
 
 # Codes at the start of a season, day lengths by month (duff: hours; drought: factor), class edges and labels, risk bands.
 START_FFMC, START_DMC, START_DC = 85.0, 6.0, 15.0
@@ -40,44 +40,59 @@ def _moisture(code: Column) -> Column:
     return 147.2 * (101.0 - code) / (59.5 + code)
 
 
-def ffmc(temp: Number, rh: Number, wind: Number, rain: Number, previous: Number) -> Column:
-    """Fine fuel moisture code of a day from that of the day before."""
-    t, h, w, r = col(temp), clip(col(rh), 0.0, 100.0), at_least(col(wind), 0.0), at_least(col(rain), 0.0)
-    m0 = _moisture(col(previous))
-    rf = r - 0.5
-    soaked = m0 + 42.5 * rf * F.exp(-100.0 / (251.0 - m0)) * (1.0 - F.exp(F.try_divide(F.lit(-6.93), rf))) + F.when(m0 > 150.0, 0.0015 * (m0 - 150.0) * (m0 - 150.0) * F.sqrt(at_least(rf, 0.0))).otherwise(0.0)
-    m = F.when(r > 0.5, at_most(soaked, 250.0)).otherwise(m0)
-    shared = 0.18 * (21.1 - t) * (1.0 - F.exp(-0.115 * h))
-    steam = F.exp((h - 100.0) / 10.0)
-    ed = 0.942 * F.pow(h, F.lit(0.679)) + 11.0 * steam + shared
-    ew = 0.618 * F.pow(h, F.lit(0.753)) + 10.0 * steam + shared
+# The three codes that are carried from day to day are written once, in operations o that exist for Columns and for arrays.
+
+
+def next_ffmc(o, t, h, w, r, previous):
+    h, w, r = o.clip(h, 0.0, 100.0), o.at_least(w, 0.0), o.at_least(r, 0.0)
+    m0, rf = _moisture(previous), r - 0.5
+    soaked = m0 + 42.5 * rf * o.exp(-100.0 / (251.0 - m0)) * (1.0 - o.exp(o.div(-6.93 + 0.0 * rf, rf)))
+    soaked = soaked + o.pick(m0 > 150.0, 0.0015 * (m0 - 150.0) * (m0 - 150.0) * o.sqrt(o.at_least(rf, 0.0)), 0.0)
+    m = o.pick(r > 0.5, o.at_most(soaked, 250.0), m0)
+    shared = 0.18 * (21.1 - t) * (1.0 - o.exp(-0.115 * h))
+    steam = o.exp((h - 100.0) / 10.0)
+    ed = 0.942 * o.power(h, 0.679) + 11.0 * steam + shared
+    ew = 0.618 * o.power(h, 0.753) + 10.0 * steam + shared
+
+    def rate(share):
+        k = 0.424 * (1.0 - o.power(share, 1.7)) + 0.0694 * o.sqrt(w) * (1.0 - o.power(share, 8.0))
+        return o.power(10.0, -(k * 0.581 * o.exp(0.0365 * t)))
+
+    m = o.pick(m > ed, ed + (m - ed) * rate(h / 100.0), o.pick(m < ew, ew - (ew - m) * rate((100.0 - h) / 100.0), m))
+    m = o.clip(m, 0.0, 250.0)
+    return o.clip(59.5 * (250.0 - m) / (147.2 + m), 0.0, 101.0)
+
+
+def next_dmc(o, t, h, r, previous, day_length):
+    t, h, r, p = o.at_least(t, -1.1), o.clip(h, 0.0, 100.0), o.at_least(r, 0.0), o.at_least(previous, 0.0)
+    log_p = o.ln(o.at_least(p, 1e-6))
+    b = o.pick(p <= 33.0, 100.0 / (0.5 + 0.3 * p), o.pick(p <= 65.0, 14.0 - 1.3 * log_p, 6.2 * log_p - 17.2))
+    rw = 0.92 * r - 1.27
+    wet = 280.0 / o.exp(0.023 * p) + o.div(1000.0 * rw, 48.77 + b * rw)
+    after = o.pick(r > 1.5, 43.43 * (5.6348 - o.ln(o.at_least(wet, 1e-6))), p)
+    return o.at_least(o.at_least(after, 0.0) + 1.894 * (t + 1.1) * (100.0 - h) * day_length * 0.0001, 0.0)
 
-    def rate(share: Column) -> Column:
-        k = 0.424 * (1.0 - F.pow(share, F.lit(1.7))) + 0.0694 * F.sqrt(w) * (1.0 - F.pow(share, F.lit(8.0)))
-        return F.pow(F.lit(10.0), -(k * 0.581 * F.exp(0.0365 * t)))
 
-    m = F.when(m > ed, ed + (m - ed) * rate(h / 100.0)).when(m < ew, ew - (ew - m) * rate((100.0 - h) / 100.0)).otherwise(m)
-    m = clip(m, 0.0, 250.0)
-    return clip(59.5 * (250.0 - m) / (147.2 + m), 0.0, 101.0)
+def next_dc(o, t, r, previous, factor):
+    t, r, d = o.at_least(t, -2.8), o.at_least(r, 0.0), o.at_least(previous, 0.0)
+    store = o.at_least(800.0 * o.exp(-d / 400.0), 1e-9)
+    after = o.pick(r > 2.8, d - 400.0 * o.ln(o.at_least(1.0 + 3.937 * (0.83 * r - 1.27) / store, 1e-300)), d)
+    return o.at_least(o.at_least(after, 0.0) + o.at_least((0.36 * (t + 2.8) + factor) / 2.0, 0.0), 0.0)
+
+
+def ffmc(temp: Number, rh: Number, wind: Number, rain: Number, previous: Number) -> Column:
+    """Fine fuel moisture code of a day from that of the day before."""
+    return next_ffmc(InColumns, col(temp), col(rh), col(wind), col(rain), col(previous))
 
 
 def dmc(temp: Number, rh: Number, rain: Number, previous: Number, month: Number, lat: Number = 46.0) -> Column:
     """Duff moisture code."""
-    t, h, r, p = at_least(col(temp), -1.1), clip(col(rh), 0.0, 100.0), at_least(col(rain), 0.0), at_least(col(previous), 0.0)
-    log_p = F.ln(at_least(p, 1e-6))
-    b = F.when(p <= 33.0, 100.0 / (0.5 + 0.3 * p)).when(p <= 65.0, 14.0 - 1.3 * log_p).otherwise(6.2 * log_p - 17.2)
-    rw = 0.92 * r - 1.27
-    wet = 20.0 + 280.0 / F.exp(0.023 * p) + F.try_divide(1000.0 * rw, 48.77 + b * rw)
-    after = F.when(r > 1.5, 43.43 * (5.6348 - F.ln(at_least(wet - 20.0, 1e-6)))).otherwise(p)
-    return at_least(at_least(after, 0.0) + 1.894 * (t + 1.1) * (100.0 - h) * day_length_dmc(month, lat) * 0.0001, 0.0)
+    return next_dmc(InColumns, col(temp), col(rh), col(rain), col(previous), day_length_dmc(month, lat))
 
 
 def dc(temp: Number, rain: Number, previous: Number, month: Number, lat: Number = 46.0) -> Column:
     """Drought code."""
-    t, r, d = at_least(col(temp), -2.8), at_least(col(rain), 0.0), at_least(col(previous), 0.0)
-    store = at_least(800.0 * F.exp(-d / 400.0), 1e-9)
-    after = F.when(r > 2.8, d - 400.0 * F.ln(1.0 + 3.937 * (0.83 * r - 1.27) / store)).otherwise(d)
-    return at_least(at_least(after, 0.0) + at_least((0.36 * (t + 2.8) + day_length_dc(month, lat)) / 2.0, 0.0), 0.0)
+    return next_dc(InColumns, col(temp), col(rain), col(previous), day_length_dc(month, lat))
 
 
 def isi(ffmc_value: Number, wind: Number) -> Column:

@@ -222,9 +222,12 @@ def coincidence_scores(goes: DataFrame, viirs: DataFrame, key: str, cell_m: floa
     return r.withColumn("pod", F.try_divide("tp", "n_viirs"))
 
 
-def precision_far_scores(goes: DataFrame, viirs: DataFrame, key: str, cell_m: float = 4000.0, coverage_m: float = 50_000.0, window_s: float = 1800.0) -> DataFrame:
-    """One row: rows of goes that viirs could have seen (a row in the coarse cell), of these found in the fine cell (tp) or not (fp)."""
-    seen = coincidence(goes, viirs, key, coverage_m, window_s).select(key, F.lit(1).alias("seen"))
+def precision_far_scores(goes: DataFrame, viirs: DataFrame, key: str, cell_m: float = 4000.0, coverage_m: float = 50_000.0, window_s: float = 1800.0, seen: DataFrame | None = None) -> DataFrame:
+    """One row: rows of goes that viirs could have seen (a row in the coarse cell), of these found in the fine cell (tp) or not (fp).
+
+    seen: the coarse coincidence where it is known already, as for several fine cells.
+    """
+    seen = (coincidence(goes, viirs, key, coverage_m, window_s) if seen is None else seen).select(key, F.lit(1).alias("seen"))
     found = coincidence(goes, viirs, key, cell_m, window_s).select(key, F.lit(1).alias("found"))
     r = seen.join(found, key, "left").agg(F.count("*").alias("n_evaluable"), F.count("found").alias("tp")).withColumn("fp", F.col("n_evaluable") - F.col("tp"))
     return r.withColumn("precision", F.try_divide("tp", "n_evaluable")).withColumn("far", F.try_divide("fp", "n_evaluable"))

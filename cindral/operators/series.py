@@ -152,32 +152,14 @@ def fire_cohort(det: DataFrame, cell_deg: float = 0.25, baseline_h: float = 30.0
 
 
 def _step(f0, p0, d0, t, h, w, r, mo, lat):
-    """One day of the three moisture codes for many cells at once (the Column functions of cindral.functions.fireweather, in NumPy)."""
+    """One day of the three moisture codes for many cells at once."""
     import numpy as np
 
     from cindral.functions import fireweather as fw
+    from cindral.functions._num import InArrays
 
-    h, w, r = np.clip(h, 0.0, 100.0), np.maximum(w, 0.0), np.maximum(r, 0.0)
-    m = 147.2 * (101.0 - f0) / (59.5 + f0)
-    wet, rf = r > 0.5, np.where(r > 0.5, r - 0.5, 1.0)
-    soaked = m + 42.5 * rf * np.exp(-100.0 / (251.0 - m)) * (1.0 - np.exp(-6.93 / rf)) + np.where(m > 150.0, 0.0015 * (m - 150.0) ** 2 * np.sqrt(rf), 0.0)
-    m = np.where(wet, np.minimum(soaked, 250.0), m)
-    shared, steam = 0.18 * (21.1 - t) * (1.0 - np.exp(-0.115 * h)), np.exp((h - 100.0) / 10.0)
-    ed, ew = 0.942 * h**0.679 + 11.0 * steam + shared, 0.618 * h**0.753 + 10.0 * steam + shared
-    rate = lambda s: 10.0 ** -((0.424 * (1.0 - s**1.7) + 0.0694 * np.sqrt(w) * (1.0 - s**8)) * 0.581 * np.exp(0.0365 * t))
-    m = np.clip(np.where(m > ed, ed + (m - ed) * rate(h / 100.0), np.where(m < ew, ew - (ew - m) * rate((100.0 - h) / 100.0), m)), 0.0, 250.0)
-    f = np.clip(59.5 * (250.0 - m) / (147.2 + m), 0.0, 101.0)
-    table = lambda north, equator: np.full(12, equator) if abs(lat) <= 10.0 else np.array(north) if lat > 0 else np.roll(north, 6)
-    p0, td = np.maximum(p0, 0.0), np.maximum(t, -1.1)
-    lp = np.log(np.maximum(p0, 1e-6))
-    b = np.where(p0 <= 33.0, 100.0 / (0.5 + 0.3 * p0), np.where(p0 <= 65.0, 14.0 - 1.3 * lp, 6.2 * lp - 17.2))
-    rw = 0.92 * r - 1.27
-    after = np.where(r > 1.5, 43.43 * (5.6348 - np.log(np.maximum(280.0 / np.exp(0.023 * p0) + 1000.0 * rw / (48.77 + b * rw), 1e-6))), p0)
-    p = np.maximum(np.maximum(after, 0.0) + 1.894 * (td + 1.1) * (100.0 - h) * table(fw.DMC_NORTH, fw.DMC_EQUATOR)[mo - 1] * 0.0001, 0.0)
-    d0, tc = np.maximum(d0, 0.0), np.maximum(t, -2.8)
-    inner = np.where(r > 2.8, 1.0 + 3.937 * (0.83 * r - 1.27) / np.maximum(800.0 * np.exp(-d0 / 400.0), 1e-9), 1.0)
-    d = np.maximum(np.maximum(d0 - 400.0 * np.log(inner), 0.0) + np.maximum((0.36 * (tc + 2.8) + table(fw.DC_NORTH, fw.DC_EQUATOR)[mo - 1]) / 2.0, 0.0), 0.0)
-    return f, p, d
+    table = lambda north, equator: (np.full(12, equator) if abs(lat) <= 10.0 else np.array(north) if lat > 0 else np.roll(north, 6))[mo - 1]
+    return fw.next_ffmc(InArrays, t, h, w, r, f0), fw.next_dmc(InArrays, t, h, r, p0, table(fw.DMC_NORTH, fw.DMC_EQUATOR)), fw.next_dc(InArrays, t, r, d0, table(fw.DC_NORTH, fw.DC_EQUATOR))
 
 
 def fire_weather_days(df: DataFrame, cell: str = "cell", day: str = "day", lat: float = 46.0) -> DataFrame:

@@ -490,9 +490,9 @@ SELECT e.s::DOUBLE AS cell_m, (SELECT count(*) FROM i) AS n_viirs, (SELECT count
 def ref_coincidence(spark, sf):
     """Share of polar detections that the geostationary source saw within a cell and half an hour, at two cell sizes."""
     g, v = cut(det(spark, sf, "t", "x", "y")), cut(_firms_xy(spark, sf))
-    out = None
+    out, seen = None, cut(linking.coincidence(g, v, "det_id", 50_000.0, 1800.0))
     for size in (2000.0, 4000.0):
-        c = linking.coincidence_scores(g, v, "firms_id", size).crossJoin(linking.precision_far_scores(g, v, "det_id", size).withColumnRenamed("tp", "tp_goes")).withColumn("cell_m", F.lit(size))
+        c = linking.coincidence_scores(g, v, "firms_id", size).crossJoin(linking.precision_far_scores(g, v, "det_id", size, seen=seen).withColumnRenamed("tp", "tp_goes")).withColumn("cell_m", F.lit(size))
         out = c if out is None else out.unionByName(c)
     return out.select("cell_m", "n_viirs", "tp", r6(F.col("median_gap_min"), "median_gap_min"), r6(F.col("pod"), "pod"), "n_evaluable", "tp_goes", "fp", r6(F.col("precision"), "precision"), r6(F.col("far"), "far"))
 
