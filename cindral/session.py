@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 * 1024 * 1024
 
 
+_SHIPPED: set[str] = set()
+
+
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the operators expect (UTC, AQE); on a cluster use its own session."""
     b = (
@@ -33,7 +36,10 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the session's Python workers, which need it wherever it is not installed there."""
+    """Sends this package, once, to the session's Python workers, which need it wherever it is not installed there."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return spark
+    _SHIPPED.add(spark.sparkContext.applicationId)
     home = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="cindral-zip-")  # read by the driver alone, which serves it to the executors
     atexit.register(shutil.rmtree, folder, ignore_errors=True)

@@ -313,6 +313,13 @@ def test_only_the_subpackage_may_be_missing():
     assert broken.returncode != 0 and "cindral.operators.raster" in broken.stderr
 
 
+def test_session_twice_and_package_on_workers(tmp_path):
+    code = f"import sys; sys.path.insert(0, {__file__.rsplit('/tests/', 1)[0]!r}); from cindral.session import session; a = session('local[2]', 2); b = session('local[2]', 2); assert a is b\n"
+    code += "from cindral.operators.drift import leaves; print(leaves(a.createDataFrame([(1, '{\"a\": 1}')], 'k int, body string'), ['k']).count())"
+    r = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert r.returncode == 0 and r.stdout.strip().endswith("1"), r.stderr[-2000:]
+
+
 def test_checkpoint_folder_is_asked_for_off_local():
     from types import SimpleNamespace as N
 
